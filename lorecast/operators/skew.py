@@ -14,20 +14,14 @@ HOT_ROWS = 500_000
 SALTS = 64
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, most: int = HOT_KEYS) -> list[tuple]:
-    """The at most ``most`` most frequent keys with ``min_rows`` rows or more (null keys join nothing and are left out).
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, most: int = HOT_KEYS) -> list[int]:
+    """Hashes (xxhash64) of the at most ``most`` most frequent keys with ``min_rows`` rows or more; null keys are left out.
 
     Counts are combined before the shuffle; what reaches the driver is bounded by ``most`` whatever the input.
     """
-    known = df.select(*keys).dropna()
-    rows = known.groupBy(*keys).count().where(F.col("count") >= min_rows).orderBy(F.desc("count"), *keys).limit(most).collect()
-    return [tuple(r[k] for k in keys) for r in rows]
-
-
-def _is_hot(keys: Sequence[str], hot: list[tuple]) -> Column:
-    if len(keys) == 1:
-        return F.col(keys[0]).isin([h[0] for h in hot])
-    return F.struct(*keys).isin([F.struct(*(F.lit(v) for v in h)) for h in hot])
+    counts = df.select(*keys).dropna().groupBy(*keys).count().where(F.col("count") >= min_rows)
+    rows = counts.select("count", F.xxhash64(*keys).alias("h")).orderBy(F.desc("count"), "h").limit(most).collect()
+    return [r.h for r in rows]
 
 
 def salted_join(
@@ -42,14 +36,15 @@ def salted_join(
     """``left.join(right, keys, how)`` where hot keys of ``left`` are spread over ``salts`` tasks.
 
     ``how`` keeps left rows as they are: inner, left, left_semi or left_anti. ``spread`` is an expression of ``left`` that
-    differs among the rows of one key. Rows of ``right`` are repeated for hot keys only. No key is hot: a plain join.
+    differs among the rows of one key; keys have the same types on both sides. Rows of ``right`` are repeated for hot keys only. No key is hot: a plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join can't do {how!r}")
     hot = hot_keys(left, keys, min_rows)
     if not hot:
         return left.join(right, list(keys), how)
-    salted = left.withColumn("_salt", F.when(_is_hot(keys, hot), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
-    copies = F.when(_is_hot(keys, hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    is_hot = F.xxhash64(*keys).isin(hot)
+    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.withColumn("_salt", F.explode(copies))
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
