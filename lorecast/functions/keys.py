@@ -24,5 +24,6 @@ def is_blank(text: Column) -> Column:
 
 def key(text: Column) -> Column:
     """An id without regard to letter case and surrounding blanks; null if blank."""
-    clean = F.lower(strip(text))
+    bare = F.trim(text)
+    clean = F.when(bare.rlike("^[!-~]+$"), F.lower(bare)).otherwise(F.lower(strip(text)))  # most ids need no look at every blank
     return F.when(clean != "", clean)
