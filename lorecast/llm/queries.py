@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorecast.llm import canonical
+from lorecast.llm import canonical, conversations
 from lorecast.session import table
 
 #: The tables whose texts are brought to one form, with their id and text.
@@ -33,4 +33,12 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.dropped_conversations(table(spark, d, "messages"))
+
+
+def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.rebuilt_conversations(table(spark, d, "messages"))
+
+
+QUERIES = {"p4_found": (p4_found, None), "p4_conversations": (p4_conversations, None), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
