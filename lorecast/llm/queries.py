@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorecast.llm import canonical, conversations
+from lorecast.llm import canonical, conversations, tokens
 from lorecast.session import table
 
 #: The tables whose texts are brought to one form, with their id and text.
@@ -41,4 +41,12 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuilt_conversations(table(spark, d, "messages"))
 
 
-QUERIES = {"p4_found": (p4_found, None), "p4_conversations": (p4_conversations, None), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(table(spark, d, "documents"), ["doc_id"], "text")
+
+
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.decoded(p6_ids(spark, d), "doc_id")
+
+
+QUERIES = {"p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, None), "p4_conversations": (p4_conversations, None), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}

@@ -1,0 +1,9 @@
+import pytest
+from oracle import compare
+
+from lorecast.llm.queries import QUERIES
+
+
+@pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
+def test_query_matches_sql(spark, name):
+    compare(spark, name)
