@@ -50,6 +50,17 @@ def _within(cp: int, ranges: tuple) -> bool:
     return any(a <= cp <= b for a, b in ranges)
 
 
+def spans(points: set[int]) -> str:
+    """The inside of a character class of these code points."""
+    runs: list[list[int]] = []
+    for cp in sorted(points):
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+
+
 @lru_cache(1)
 def properties() -> tuple[dict[int, str], str]:
     """What each character becomes, and a character class of those that need a look (the quick check says no or maybe)."""
@@ -76,14 +87,7 @@ def properties() -> tuple[dict[int, str], str]:
     marks = {cp for cp in range(0x300, 0x20000) if unicodedata.combining(chr(cp))}
     jamo = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
     letters = {cp for cp in range(0x80, 0x30000) if not 0xAC00 <= cp <= 0xD7A3 and (n := unicodedata.normalize("NFD", chr(cp))) != chr(cp) and unicodedata.normalize("NFC", n.translate(table)) != chr(cp)}
-    unstable = sorted(set(table) | marks | jamo | letters | joins - set(range(128)))
-    spans: list[list[int]] = []
-    for cp in unstable:
-        if spans and cp == spans[-1][1] + 1:
-            spans[-1][1] = cp
-        else:
-            spans.append([cp, cp])
-    return table, "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+    return table, spans(set(table) | marks | jamo | letters | joins - set(range(128)))
 
 
 def canonicalizer() -> tuple[dict[int, str], str]:
