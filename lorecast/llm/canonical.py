@@ -61,9 +61,8 @@ def spans(points: set[int]) -> str:
     return "".join(f"\\U{a:08x}" if a == b else f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
-@lru_cache(1)
-def properties() -> tuple[dict[int, str], str]:
-    """What each character becomes, and a character class of those that need a look (the quick check says no or maybe)."""
+def properties() -> tuple[dict[int, str], set[int]]:
+    """What each character becomes, and those that need a look (the quick check says no or maybe)."""
     table: dict[int, str] = {ord(a): b for a, b in LOOK_ALIKES.items()}
     joins: set[int] = set()
     for cp in range(sys.maxunicode + 1):
@@ -87,18 +86,48 @@ def properties() -> tuple[dict[int, str], str]:
     marks = {cp for cp in range(0x300, 0x20000) if unicodedata.combining(chr(cp))}
     jamo = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
     letters = {cp for cp in range(0x80, 0x30000) if not 0xAC00 <= cp <= 0xD7A3 and (n := unicodedata.normalize("NFD", chr(cp))) != chr(cp) and unicodedata.normalize("NFC", n.translate(table)) != chr(cp)}
-    return table, spans(set(table) | marks | jamo | letters | joins - set(range(128)))
+    return table, set(table) | marks | jamo | letters | joins - set(range(128))
+
+
+class Canonicalizer:
+    """``text`` to its canonical form: signs that stand for one other sign are replaced, then the segments of what is left that
+    can change or join are normalized with the stable sign before them, and spliced into the rest."""
+
+    def __init__(self):
+        self.table, unstable = properties()
+        single = {c for c in unstable if len(self.table.get(c, "")) == 1 and c < 0x10000}
+        self.single = re.compile(f"[{spans(single)}]")
+        self.moving = re.compile(f"[{spans({c for c in unstable - single if c < 0x10000})}]+")
+        self.anywhere = re.compile(f"[{spans(unstable - single)}]+")  # slower, for texts with signs beyond the basic plane
 
+    def normal(self, segment: str) -> str:
+        return unicodedata.normalize("NFC", unicodedata.normalize("NFD", segment).translate(self.table))
 
-def canonicalizer() -> tuple[dict[int, str], str]:
-    """What tasks need: the character table and the pattern of an unstable segment with its context."""
-    table, unstable = properties()
-    return table, f"(?:[^{unstable}\\n]?)[{unstable}]+"
+    def replaced(self, text: str) -> tuple[str, re.Pattern]:
+        """``text`` with single signs replaced, and the pattern of the segments to look at."""
+        table = self.table
+        return self.single.sub(lambda m: table[ord(m[0])], text), self.anywhere if _ASTRAL.search(text) else self.moving
 
+    def __call__(self, text: str) -> str:
+        if text.isascii() and not _CONTROL.search(text):
+            return text
+        text, segments = self.replaced(text)
+        out, last = [], 0
+        for m in segments.finditer(text):
+            i = max(last, m.start() - 1)
+            out += [text[last:i], self.normal(text[i : m.end()])]
+            last = m.end()
+        return "".join(out) + text[last:] if out else text
 
-def canonical_text(text: str, table: dict[int, str], segment: re.Pattern) -> str:
-    """``text`` with each unstable segment in its canonical form."""
-    return segment.sub(lambda m: unicodedata.normalize("NFC", unicodedata.normalize("NFD", m[0]).translate(table)), text)
+
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+_CONTROL = re.compile(r"[\x00-\x08\x0d-\x1b\x7f]")
+
+
+@lru_cache(1)
+def canonicalizer() -> Canonicalizer:
+    """Made once on the driver and carried to the tasks."""
+    return Canonicalizer()
 
 
 def canonical(text: Column) -> Column:
@@ -107,15 +136,14 @@ def canonical(text: Column) -> Column:
     Width forms, composed and combined accents, kinds of blank, invisible characters, joined letters and look-alike letters
     come out alike. Case, accents, line breaks and signs drawn differently stay apart; a carriage return shows nothing.
     """
-    table, pattern = canonicalizer()
+    canon = canonicalizer()
 
     @F.pandas_udf("string")
     def changed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        segment = re.compile(pattern)
         for texts in batches:
             out = []
             for t in texts:
-                c = None if t is None or t.isascii() and "\r" not in t else canonical_text(t, table, segment)
+                c = None if t is None else canon(t)
                 out.append(None if c == t else c)  # what is stable doesn't travel back
             yield pd.Series(out, dtype=object)
 

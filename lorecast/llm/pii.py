@@ -10,7 +10,6 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorecast.llm.boosting import Boosted
-from lorecast.llm.canonical import canonicalizer, spans
+from lorecast.llm.canonical import Canonicalizer, canonicalizer
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 EMAIL, PHONE, ID, ADDRESS, PERSON = range(5)
@@ -104,22 +103,13 @@ _PHONES = [re.compile(p) for p in (
 FEATURES = 36
 
 
-@lru_cache(1)
-def _tables() -> tuple[dict[int, str], re.Pattern, re.Pattern]:
-    """The character table, the pattern of signs that become one other sign, and that of segments that may change in length."""
-    table, _ = canonicalizer()
-    marks = [c for c in range(0x300, 0x10000) if unicodedata.combining(chr(c))]
-    moving = {*(c for c, to in table.items() if len(to) != 1 and (c < 0x10000 or c >= 0xE0000)), *marks, *range(0x1100, 0x1200), *range(0xF900, 0xFB00)}
-    single = spans({c for c, to in table.items() if len(to) == 1 and c < 0x10000} - moving)
-    return table, re.compile(f"[{single}]"), re.compile(f"[{spans(moving)}]+")
-
-
-def folded(text: str) -> tuple[str, list[int] | None, list[int] | None]:
+def folded(text: str, canon: Canonicalizer | None = None) -> tuple[str, list[int] | None, list[int] | None]:
     """``text`` in its canonical form, with the start and end in ``text`` of each of its signs (None: the same places)."""
     if text.isascii():
         return text, None, None
-    table, single, segment = _tables()
-    text = single.sub(lambda m: table[ord(m[0])], text)
+    canon = canon or canonicalizer()
+    table = canon.table
+    text, segment = canon.replaced(text)
     out, starts, ends, last = [], [], [], 0
     for m in segment.finditer(text):
         i = max(last, m.start() - 1)  # with the sign before it, which it may join
@@ -130,7 +120,7 @@ def folded(text: str) -> tuple[str, list[int] | None, list[int] | None]:
             j = i + 1
             while j < m.end() and (unicodedata.combining(text[j]) or table.get(ord(text[j])) == "" and j + 1 < m.end() and unicodedata.combining(text[j + 1])):
                 j += 1
-            form = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text[i:j]).translate(table))
+            form = canon.normal(text[i:j])
             out.append(form)
             starts.extend([i] * len(form))
             ends.extend([j] * len(form))
@@ -361,13 +351,13 @@ def _f1(got: np.ndarray, want: np.ndarray) -> float:
 
 
 def fitted(df: DataFrame, id_col: str, text_col: str, sample_docs: int = SAMPLE_DOCS) -> Judge:
-    """A judge from at most ``sample_docs`` documents, chosen by the hash of their id whatever the order of rows."""
-    docs = df.select(id_col, text_col).where(F.length(text_col) > 0)
+    """A judge from at most ``sample_docs`` documents of up to 50,000 signs (a bound on what is fitted, not on what is searched), chosen by the hash of their id whatever the order of rows."""
+    docs = df.select(id_col, text_col).where(F.length(text_col).between(1, 50_000))
     share = sample_docs / max(1, docs.select(id_col).count())
     if share < 1:
         docs = docs.where(F.pmod(F.xxhash64(F.lit("pii"), id_col), F.lit(1_000_000)) < int(share * 1_000_000))
     rows = docs.select(text_col).limit(sample_docs).collect()
-    return Judge(sorted(r[0][:20_000] for r in rows))  # for fitting only; documents are searched whole
+    return Judge(sorted(r[0] for r in rows))
 
 
 def _places(text: str, spans: list[tuple[int, int, int]], starts, ends) -> list[tuple[int, int, int]]:
@@ -375,13 +365,15 @@ def _places(text: str, spans: list[tuple[int, int, int]], starts, ends) -> list[
 
 
 def _searched(judge, carry: int, schema: pa.Schema, whole: bool):
+    canon = canonicalizer()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         j: Judge = judge.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 texts = [t or "" for t in part.column(carry).to_pylist()]
-                forms = [folded(t) for t in texts]
+                forms = [folded(t, canon) for t in texts]
                 found = [candidates(f) for f, _, _ in forms]
                 x = [features(f, c, j.names, j.words) for (f, _, _), c in zip(forms, found)]
                 chosen = j.select(found, np.concatenate([r for r in x if len(r)] or [np.zeros((0, FEATURES), np.float32)]))
