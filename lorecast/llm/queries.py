@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorecast.llm import canonical, conversations, pii, tokens
+from lorecast.llm import boilerplate, canonical, conversations, pii, tokens
 from lorecast.session import table
 
 #: The tables whose texts are brought to one form, with their id and text.
@@ -57,4 +57,12 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redacted(table(spark, d, "documents"), ["doc_id"], "text")
 
 
-QUERIES = {"p8_found": (p8_found, None), "p8_redacted": (p8_redacted, None), "p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, None), "p4_conversations": (p4_conversations, None), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.marked_lines(table(spark, d, "document_chunks"), table(spark, d, "documents"))
+
+
+def p5_main(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_bodies(table(spark, d, "document_chunks"), table(spark, d, "documents"))
+
+
+QUERIES = {"p5_found": (p5_found, None), "p5_main": (p5_main, None), "p8_found": (p8_found, None), "p8_redacted": (p8_redacted, None), "p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, None), "p4_conversations": (p4_conversations, None), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
