@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorecast.llm import boilerplate, canonical, conversations, pairs, pii, tokens
+from lorecast.llm import boilerplate, canonical, conversations, mixing, pairs, pii, tokens
 from lorecast.session import table
 
 #: The tables whose texts are brought to one form, with their id and text.
@@ -69,4 +69,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, d, "eval_qa_pairs"), table(spark, d, "documents"))
 
 
-QUERIES = {"p2_found": (p2_found, None), "p5_found": (p5_found, None), "p5_main": (p5_main, None), "p8_found": (p8_found, None), "p8_redacted": (p8_redacted, None), "p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, None), "p4_conversations": (p4_conversations, None), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(mixing.counted(table(spark, d, "documents")), "doc_id", table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs, targets = mixing.counted(table(spark, d, "documents")), table(spark, d, "mix_targets")
+    return mixing.actual_shares(mixing.mixed(docs, "doc_id", targets), docs, targets)
+
+
+QUERIES = {"p7_mix": (p7_mix, None), "p7_shares": (p7_shares, None), "p2_found": (p2_found, None), "p5_found": (p5_found, None), "p5_main": (p5_main, None), "p8_found": (p8_found, None), "p8_redacted": (p8_redacted, None), "p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, None), "p4_conversations": (p4_conversations, None), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
