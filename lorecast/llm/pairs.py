@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorecast.functions.keys import BLANK, key
+from lorecast.functions.keys import key
 from lorecast.llm.canonical import canonical
+from lorecast.session import write_shared
 
 LANGUAGES = ("en", "zh", "de", "fr")
 #: The language model is fitted on at most so many labelled documents.
@@ -42,7 +43,7 @@ _REFUSALS = (
     r"|ne (?:peux|puis|sais|suis) pas|ne (?:peux|puis) (?:malheureusement )?(?:pas )?(?:répondre|aider|fournir)|pas (?:en mesure|assez|de réponse|suffisamment)|ne contiennent pas|ne contient pas|contexte est insuffisant|aucun(?:e)? (?:résultat|contenu|information|réponse|élément|passage|document)|en tant qu'(?:assistant|ia|intelligence|modèle)|(?:dépasse|sort du|hors d[ue]) |impossible de répondre|n'ai (?:pas|rien) trouvé"
 )
 _CODE = r"(?s)```.*?(?:```|$)|~~~.*?(?:~~~|$)"
-_INLINE = r"`[^`\n]*`|[A-Za-z_]\w*(?:_\w+|[a-z][A-Z]\w*)|\b\w+\(\)|https?://\S+|<[^<>\n]{1,200}>"
+_INLINE = r"`[^`\n]*`|https?://\S+|<[^<>\n]{1,200}>"
 
 
 def _hashed(text: str, in_code: np.ndarray | None = None) -> list[np.ndarray]:
@@ -158,24 +159,27 @@ def _letters(text: Column) -> Column:
 
 
 def pair_texts(pairs: DataFrame) -> DataFrame:
-    """(qa_id, q, a): each pair once, both texts in canonical form without blanks around them; null answers stay null."""
+    """(qa_id, q, a): each pair once, both texts in canonical form without blanks around them; null answers stay null.
+
+    Written to the shared folder, as the counts and the judgement both read it.
+    """
     once = pairs.select(key("id").alias("qa_id"), F.col("question").alias("q"), F.col("reference_answer").alias("a")).where("qa_id is not null").dropDuplicates(["qa_id"])
-    trim = lambda c: F.regexp_replace(canonical(F.col(c)), f"^[{BLANK}]+|[{BLANK}]+$", "")
-    return once.select("qa_id", trim("q").alias("q"), trim("a").alias("a"))
+    trim = lambda c: F.btrim(canonical(F.col(c)), F.lit(" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u2028\u2029\u2800"))  # noqa: E731 - the other blanks are gone or spaces
+    return write_shared(once.select("qa_id", trim("q").alias("q"), trim("a").alias("a")), "pairs")
 
 
 def plain_defect(q: Column, a: Column) -> Column:
     """empty, copy or refusal, or null: what can be told without a model."""
     bare = F.regexp_replace(F.regexp_replace(a, r"<[^<>]{1,200}>|&(?:nbsp|zwnj|zwj|ensp|emsp|#160|#8203);", ""), r"```[\w+\-]*\s*```|~~~\s*~~~", "")
     word = F.lower(F.regexp_replace(bare, r"^[\s\[\](){}<>*_#.…!\"'“”:\-–—]+|[\s\[\](){}<>*_#.…!\"'“”:\-–—]+$", ""))
-    empty = a.isNull() | ~bare.rlike(r"[\p{L}\p{N}\p{S}&&[^`~|^+<>=$]]|(?<!`)`[^`\n]*[^`\s][^`\n]*`") | word.isin(*_PLACEHOLDERS)
+    empty = a.isNull() | ~bare.rlike(r"[\p{L}\p{N}\p{S}&&[^`~|^+<>=$]]|(?<!`)`[^`\n]*[^`\s][^`\n]*`") | (F.length(bare) <= 80) & word.isin(*_PLACEHOLDERS)
     unlabelled = F.regexp_replace(F.lower(a), _LABELS, "")
     asked = _letters(q)
     repeats = lambda t: (_letters(t) != "") & (F.replace(_letters(t), asked, F.lit("")) == "")
     each_line = F.regexp_replace(F.lower(a), r"(?m)" + _LABELS, "")
-    copy = (asked != "") & (repeats(unlabelled) | repeats(a) | repeats(each_line))
+    copy = (asked != "") & _letters(a).contains(asked) & (repeats(unlabelled) | repeats(a) | repeats(each_line))
     plain = F.regexp_replace(F.lower(a), "[’‘´]", "'")
-    refusal = plain.rlike(_REFUSALS) & ~a.contains("`") & (F.length(a) <= 400)
+    refusal = ~a.contains("`") & (F.length(a) <= 400) & plain.rlike(_REFUSALS)
     return F.when(empty, "empty").when(copy, "copy").when(refusal, "refusal")
 
 
