@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "cleaning", "monitoring")
+MODULES = ("references", "cleaning", "monitoring", "retrieval", "relations")
 
 
 def core_queries() -> dict:
