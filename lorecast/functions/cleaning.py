@@ -90,7 +90,7 @@ def cleaned(text: Column, web: Column) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
+    return F.when(text.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("int")
 
 
 def word_count(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "cleaning", "monitoring", "retrieval", "relations")
+MODULES = ("references", "cleaning", "monitoring", "retrieval", "relations", "ingest")
 
 
 def core_queries() -> dict:
