@@ -76,10 +76,15 @@ def without_noise(text: Column) -> Column:
 
 def distinct_paragraphs(text: Column) -> Column:
     """A paragraph equal to the one kept before it, but for case and white space around, is dropped; blank ones stay."""
-    parts = F.split(text, "\n\n", -1)
-    plain = F.transform(parts, lambda p: F.lower(F.regexp_replace(p, r"(?U)^\s+|\s+$", "")))
-    kept = F.filter(F.arrays_zip(parts.alias("p"), plain.alias("k"), F.concat(F.array(F.lit(None).cast("string")), plain).alias("b")), lambda x: (x["k"] == "") | x["b"].isNull() | (x["k"] != x["b"]))
-    return F.array_join(F.filter(F.transform(kept, lambda x: x["p"]), lambda p: p.isNotNull()), "\n\n")
+    bare = lambda p: F.lower(F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+    before = lambda parts, i: F.get(parts, i - 1)
+    kept = lambda parts: F.filter(F.transform(parts, lambda p, i: F.when((i == 0) | (bare(p) == "") | (bare(p) != bare(before(parts, i))), p)), lambda p: p.isNotNull())
+    return F.array_join(_once(F.split(text, "\n\n", -1), kept), "\n\n")
+
+
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` computed once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def cleaned(text: Column, web: Column) -> Column:

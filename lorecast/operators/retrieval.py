@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorecast.operators.skew import salted_join
+from lorecast.session import write_shared
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of one block of vectors; a pair of blocks is one task's unit of work.
@@ -21,11 +22,12 @@ QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
 
 def tokens(text: Column) -> Column:
     """Distinct tokens in order: Latin words and code names of the lower-cased text without pure numbers, and pairs of Han signs."""
-    low = F.lower(text)
-    words = F.filter(F.regexp_extract_all(low, F.lit(r"([a-z0-9_+\-]+)"), F.lit(1)), lambda t: ~t.rlike("^[0-9]+$") & ((F.length(t) >= 2) | t.rlike("^[a-z]$")))
-    even = F.regexp_extract_all(low, F.lit("([一-鿿]{2})"), F.lit(1))
-    odd = F.regexp_extract_all(low, F.lit("(?:[一-鿿])([一-鿿]{2})"), F.lit(1))
-    return F.array_distinct(F.concat(words, even, odd))
+    named = lambda t: ~t.rlike("^[0-9]+$") & ((F.length(t) >= 2) | t.rlike("^[a-z]$"))
+    words = lambda low: F.filter(F.regexp_extract_all(low, F.lit(r"([a-z0-9_+\-]+)"), F.lit(1)), named)
+    even = lambda low: F.regexp_extract_all(low, F.lit("([一-鿿]{2})"), F.lit(1))
+    odd = lambda low: F.regexp_extract_all(low, F.lit("(?:[一-鿿])([一-鿿]{2})"), F.lit(1))
+    found = lambda low: F.array_distinct(F.when(low.rlike("[一-鿿]"), F.concat(words(low), even(low), odd(low))).otherwise(words(low)))
+    return F.get(F.transform(F.array(F.lower(text)), found), F.lit(0))  # lower-cased once
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -47,9 +49,9 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str)
 
     Postings of frequent terms are spread over many tasks.
     """
-    index = postings(docs, id_col, text_col)
+    index = write_shared(postings(docs, id_col, text_col), "postings")  # the index is read three times
     n = docs.count()
-    length = (index.select("doc", "dl").distinct().agg(F.sum("dl")).first()[0] or 0) / max(1, n)
+    length = index.count() / max(1, n)
     asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term"))
     weighted = asked.join(term_statistics(index, n), "term").select("query", "term", "idf")
     weight = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.lit(float(length or 1))))
