@@ -91,14 +91,31 @@ class Languages:
         return score - np.log(np.exp(score).sum())
 
 
-def fitted_languages(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Languages:
-    """A language model from at most ``sample_docs`` labelled documents, chosen by the hash of their id; wrong labels are few."""
+def _share(rows: DataFrame, id_col: str, most: int) -> DataFrame:
+    """At most ``most`` rows, chosen by the hash of their id."""
+    share = most / max(1, rows.count())
+    chosen = rows.where(F.pmod(F.xxhash64(F.lit("lang"), id_col), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    return chosen.limit(most)
+
+
+def fitted_languages(documents: DataFrame, texts: DataFrame | None = None, sample_docs: int = SAMPLE_DOCS) -> Languages:
+    """A language model from at most ``sample_docs`` labelled documents; wrong labels are few.
+
+    Questions are put otherwise than documents: given ``texts`` (qa_id, q, a), as many questions are added under the language
+    of their answer where the documents alone leave no doubt about it; nearly all pairs are in one language.
+    """
     docs = documents.where(F.lower("lang").isin(*LANGUAGES) & F.length("text").between(40, 20_000))
-    share = sample_docs / max(1, docs.count())
-    if share < 1:
-        docs = docs.where(F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(F.lower("lang").alias("lang"), _prose(canonical(F.col("text"))).alias("text")).limit(sample_docs).collect()
-    return Languages([(r.lang, r.text) for r in rows])
+    rows = _share(docs.select("id", F.lower("lang").alias("lang"), "text"), "id", sample_docs).select("lang", _prose(canonical(F.col("text"))).alias("text")).collect()
+    known = [(r.lang, r.text) for r in rows]
+    model = Languages(known)
+    if texts is None:
+        return model
+    asked = _share(texts.where("a is not null and q is not null"), "qa_id", sample_docs).select(_prose(F.col("q")).alias("q"), _prose(F.col("a")).alias("a")).collect()
+    for r in asked:
+        p = np.sort(model.posterior(r.a))
+        if sum(c.isalpha() for c in r.a) >= 20 and p[-1] - p[-2] > 20:
+            known.append((LANGUAGES[int(model.posterior(r.a).argmax())], r.q))
+    return Languages(known)
 
 
 def _prose(text: Column) -> Column:
@@ -191,7 +208,7 @@ def defective_pairs(pairs: DataFrame, documents: DataFrame, languages: Languages
     """
     texts = pair_texts(pairs)
     spark = pairs.sparkSession
-    model = spark.sparkContext.broadcast(languages or fitted_languages(documents))
+    model = spark.sparkContext.broadcast(languages or fitted_languages(documents, texts))
     counts = spark.sparkContext.broadcast(end_counts(texts))
     odds = np.log(LANGUAGE_ODDS)
 

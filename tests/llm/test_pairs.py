@@ -9,7 +9,7 @@ CASES = [
     (Q, None, "empty"), (Q, " ​", "empty"), (Q, "N/A", "empty"), (Q, "<p> </p>", "empty"), (Q, "```\n```", "empty"), (Q, "待补充", "empty"), (Q, "???", "empty"), (Q, "**TBD**", "empty"),
     (Q, Q, "copy"), (Q, "Q: why does kuligu_riba fail, when the string buffer rebuilds the inner scope", "copy"), (Q, Q.upper(), "copy"), (Q, Q.replace("o", "о"), "copy"), (Q, f"Question: {Q}\nAnswer: {Q}", "copy"),
     (Q, "I’m sorry, but there is not enough context for me to respond.", "refusal"), (Q, "抱歉，我无法回答这个问题。", "refusal"), (Q, "Entschuldigung, enthalten die gefundenen Abschnitte keine Antwort.", "refusal"), (Q, "Je regrette, mais je ne sais pas.", "refusal"),
-    (Q, "`kuligu_riba` behält den Rückgabewert nach dem zweiten Durchlauf. Aus diesem Grund überspringt jeder Arbeitsfaden die übrigen Zeichen.", "other_language"), (Q, "在启动期间，`kuligu_riba` 会保留原始字节。正因为如此，嵌套循环返回父节点。", "other_language"),
+    (Q, "`kuligu_riba` behält den Rückgabewert nach dem zweiten Durchlauf. Aus diesem Grund überspringt jeder Arbeitsfaden die übrigen Zeichen.", "other_language"), ("What does `VakoFojija` do in constant time?", "`VakoFojija` sperrt das fehlende Feld beim Laden des Moduls. Der Speicherbereiniger behält den Index.", "other_language"), (Q, "在启动期间，`kuligu_riba` 会保留原始字节。正因为如此，嵌套循环返回父节点。", "other_language"),
     (Q, "`kuligu_riba` counts the declared type. Note that the iterator validates,", "truncated"), (Q, "`kuligu_riba` counts the declared type. The hash map rebu", "truncated"), (Q, "```python\nwith kuligu_riba(3) as handle:\n    handle.write(\"re", "truncated"), (Q, "`kuligu_riba` keeps the parent node (for example", "truncated"),
     (Q, "42", None), (Q, "`None`", None), (Q, "`[]`", None), (Q, "O(n²)", None), (Q, "`kuligu_riba` keeps the parent node.", None), (Q, f"{Q} `kuligu_riba` hides the fallback branch at import time.", None),
     (Q, "I cannot run the code here, but `kuligu_riba` keeps the fallback branch.", None), (Q, "```python\nwith kuligu_riba(3) as handle:\n    handle.write(\"ready\")\n```", None), (None, "`kuligu_riba` keeps the parent node.", None),
@@ -18,7 +18,7 @@ CASES = [
 
 @pytest.fixture(scope="module")
 def languages(spark):
-    return fitted_languages(spark.read.parquet(f"{DATA}/documents.parquet"))
+    return fitted_languages(spark.read.parquet(f"{DATA}/documents.parquet"), pair_texts(spark.read.parquet(f"{DATA}/eval_qa_pairs.parquet")))
 
 
 @pytest.fixture(scope="module")
