@@ -187,7 +187,7 @@ def ordered_messages(messages: DataFrame, content: bool = True, reply_to: str |
     cols = ["conversation_id", "slice", "role", micros("created_at").alias("at")]
     if reply_to:
         cols += ["id", "parent", micros("parent_at").alias("parent_at")]
-    rows = rows.select(*cols, *carry).repartition("conversation_id", "slice").sortWithinPartitions("conversation_id", "slice")
+    rows = rows.select(*cols, *carry).repartition("conversation_id", "slice").sortWithinPartitions("conversation_id", "slice", *carry)
     fields = ["conversation_id string", "slice int", "role string", "at bigint", *(f"{c} string" for c in carry), "pos int", "prev_turn string", "next_turn string", "fault boolean"]
     return rows.mapInArrow(_order_slices(bool(reply_to), carry), ", ".join(fields))
 

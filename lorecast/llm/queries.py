@@ -78,4 +78,23 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.actual_shares(mixing.mixed(docs, "doc_id", targets), docs, targets)
 
 
-QUERIES = {"p7_mix": (p7_mix, None), "p7_shares": (p7_shares, None), "p2_found": (p2_found, None), "p5_found": (p5_found, None), "p5_main": (p5_main, None), "p8_found": (p8_found, None), "p8_redacted": (p8_redacted, None), "p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, None), "p4_conversations": (p4_conversations, None), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
+_BLANKS = "[\\s\\x{85}\\x{A0}\\x{AD}\\x{34F}\\x{180E}\\x{2000}-\\x{200F}\\x{2028}-\\x{202F}\\x{205F}-\\x{206F}\\x{3000}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
+_ROLE = "CASE " + " ".join(f"WHEN r IN ({', '.join(chr(39) + x + chr(39) for x in spellings)}) THEN '{name}'" for name, spellings in conversations.ROLES.items()) + " END"
+_CONVERSATIONS = f"""
+WITH raw AS (SELECT nullif(lower(regexp_replace(conversation_id, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), '') AS c, role, regexp_replace(lower(role), '[\\s[:punct:]：\\x{{A0}}\\x{{200B}}\\x{{FEFF}}]+', '', 'g') AS r, content, created_at FROM messages),
+named AS (SELECT c, content, created_at, {_ROLE} AS role, lower(trim(role)) AS spelt FROM raw WHERE c IS NOT NULL),
+kept AS (SELECT DISTINCT c, content, created_at, role, CASE WHEN role IS NULL THEN spelt END AS spelt FROM named WHERE NOT regexp_full_match(coalesce(content, ''), '{_BLANKS}*')),
+turns AS (SELECT c, role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM kept WHERE role <> 'system' AND created_at IS NOT NULL WINDOW w AS (PARTITION BY c ORDER BY created_at, role = 'assistant', content)),
+facts AS (SELECT c, bool_and(coalesce(role = 'system', false)) AS bare, bool_or(role IS NULL OR created_at IS NULL) AS fault FROM kept GROUP BY c),
+orders AS (SELECT c, bool_or(role = 'assistant' AND before IS DISTINCT FROM 'user') AS twice, bool_or(role = 'user' AND after IS DISTINCT FROM 'assistant') AS missing FROM turns GROUP BY c),
+reasons AS (SELECT a.c, CASE WHEN f.c IS NULL OR f.bare THEN 'empty' WHEN f.fault OR o.twice THEN 'broken' WHEN o.missing THEN 'missing_reply' END AS reason
+  FROM (SELECT DISTINCT c FROM named) a LEFT JOIN facts f USING (c) LEFT JOIN orders o USING (c))
+"""
+_P4 = {
+    "p4_found": _CONVERSATIONS + "SELECT c AS conversation_id, reason FROM reasons WHERE reason IS NOT NULL",
+    "p4_conversations": _CONVERSATIONS
+    + """SELECT c AS conversation_id, row_number() OVER (PARTITION BY c ORDER BY created_at, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, content) AS position, role, content, created_at
+    FROM kept WHERE c IN (SELECT c FROM reasons WHERE reason IS NULL)""",
+}
+
+QUERIES = {"p7_mix": (p7_mix, None), "p7_shares": (p7_shares, None), "p2_found": (p2_found, None), "p5_found": (p5_found, None), "p5_main": (p5_main, None), "p8_found": (p8_found, None), "p8_redacted": (p8_redacted, None), "p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, _P4["p4_found"]), "p4_conversations": (p4_conversations, _P4["p4_conversations"]), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
