@@ -321,8 +321,8 @@ def web_pages(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def fitted(chunks: DataFrame, documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LineClassifier:
-    """A classifier from the pages of at most ``sample_docs`` web documents, chosen by the hash of their id."""
-    docs = documents.where((F.lower("source_type") == "url") & (F.length("text") > 0)).select(key("id").alias("doc_id"), "text")
+    """A classifier from the pages of at most ``sample_docs`` web documents of up to 50,000 signs, chosen by the hash of their id."""
+    docs = documents.where((F.lower("source_type") == "url") & F.length("text").between(1, 50_000)).select(key("id").alias("doc_id"), "text")
     share = sample_docs / max(1, docs.count())
     if share < 1:
         docs = docs.where(F.pmod(F.xxhash64(F.lit("page"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))

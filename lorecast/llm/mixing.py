@@ -85,7 +85,7 @@ def mix_budgets(hist: DataFrame, targets: DataFrame, total_tokens: int | None =
     """
     available = hist.groupBy("source").agg(F.sum(F.col("n") * F.col("docs")).alias("available"))
     wanted = targets.select("mix_name", "source", "target_share", "max_repeats").distinct().where((F.col("target_share") > 0) & (F.col("max_repeats") > 0))
-    rows = wanted.join(F.broadcast(available), "source", "left").fillna(0, ["available"])  # a row per source
+    rows = wanted.join(available, "source", "left").fillna(0, ["available"])
     most = F.min(F.when(F.col("available") > 0, F.col("available") * F.col("max_repeats") / F.col("target_share")))
     totals = rows.groupBy("mix_name").agg((F.lit(total_tokens).cast("double") if total_tokens is not None else F.least(most, F.sum("available").cast("double"))).alias("total"))
     budget = F.least(F.floor(F.col("target_share") * F.col("total") + 1e-6), F.col("available") * F.col("max_repeats"))
@@ -114,7 +114,7 @@ def mixed(docs: DataFrame, id_col: str, targets: DataFrame, total_tokens: int |
     known = docs.select(F.col(id_col).alias("id"), "source", F.col("n_tokens").alias("n")).where((F.col("n") > 0) & F.col("source").isNotNull())
     hist = known.groupBy("source", "n").agg(F.count("*").alias("docs"))
     budgets = mix_budgets(hist, targets, total_tokens).where("budget > 0")
-    lengths = hist.join(F.broadcast(budgets), "source")  # a row per target
+    lengths = hist.join(F.broadcast(budgets), "source")  # a row per target of the given mixes
     quota = lengths.groupBy("mix_name", "source").applyInPandas(_fill(seed), "mix_name string, source string, n bigint, docs bigint, whole bigint, extra bigint")
     quota = write_shared(quota.where("whole > 0 or extra > 0"), "quota")
     joined = salted_join(known, quota, ["source", "n"], "inner", F.col("id"), hot_rows)
