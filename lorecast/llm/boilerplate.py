@@ -26,6 +26,8 @@ from lorecast.llm.canonical import canonicalizer
 #: The classifier is fitted on the pages of at most so many documents.
 SAMPLE_DOCS = 600
 HASHES = 1 << 18
+#: What the place of a line counts against what the line itself says; its neighbours also speak through the edges.
+PLACE = 0.4
 
 _BLANK = re.compile(r"^[\s­͏᠎​-‏⁠-⁤︀-️﻿ㅤ]*$")
 _MASK = re.compile(r"\d+(?:[.,:/\-]\d+)*|\b[a-z]+[A-Z]\w*|\b[A-Z][a-z]+[A-Z]\w*|\b\w+_\w+")
@@ -227,7 +229,14 @@ class LineClassifier:
     def __init__(self, pages: list[Page], labels: list[list[int]], rounds: int = 120, seed: int = 3):
         fit = np.random.default_rng(seed).random(len(pages)) < 0.8 if len(pages) > 20 else np.ones(len(pages), bool)
         self.weights, self.bias = np.zeros(HASHES, np.float32), 0.0
-        self._fit([p for p, f in zip(pages, fit) if f], [y for y, f in zip(labels, fit) if f], rounds)
+        taught = [p for p, f in zip(pages, fit) if f]
+        told = [y for y, f in zip(labels, fit) if f]
+        clean = list(told)
+        for part in (0, 1):  # a document's text may differ from its page: labels that the other half contradicts teach nothing
+            self._fit(taught[1 - part :: 2], told[1 - part :: 2], rounds)
+            for i in range(part, len(taught), 2):
+                clean[i] = [-1 if v >= 0 and (x > 0) != v else v for v, x in zip(told[i], self.scores(taught[i], {}))]
+        self._fit(taught, clean, rounds)
         self.strength, self.held_out = self.TRIED[1], None
         held = [(p, y) for p, y, f in zip(pages, labels, fit) if not f]
         if held:
@@ -242,23 +251,25 @@ class LineClassifier:
             self.held_out, self.strength = max(best, key=lambda b: b[0])
 
     def _fit(self, pages: list[Page], labels: list[list[int]], rounds: int) -> None:
-        idx, row, y = [], [], []
+        idx, row, val, y = [], [], [], []
         for p, ys in zip(pages, labels):
             n = len(p.lines)
             for i, v in enumerate(ys):
                 if v >= 0:
-                    hashes = {_hash(w) for w in p.words(i) + p.around(i, n)}
-                    idx.extend(hashes)
-                    row.extend([len(y)] * len(hashes))
+                    for hashes, weight in (({_hash(w) for w in p.words(i)}, 1.0), ({_hash(w) for w in p.around(i, n)}, PLACE)):
+                        idx.extend(hashes)
+                        row.extend([len(y)] * len(hashes))
+                        val.extend([weight] * len(hashes))
                     y.append(v)
         if not y:
             return
-        at, r, target = np.array(idx), np.array(row), np.array(y, float)
+        self.__dict__.pop("_listed", None)
+        at, r, x, target = np.array(idx), np.array(row), np.array(val), np.array(y, float)
         w, acc, b, bacc = np.zeros(HASHES), np.full(HASHES, 1e-4), 0.0, 1e-4
         for _ in range(rounds):
-            p = 1 / (1 + np.exp(-(np.bincount(r, w[at], len(target)) + b)))
+            p = 1 / (1 + np.exp(-(np.bincount(r, w[at] * x, len(target)) + b)))
             g = p - target
-            grad = np.bincount(at, g[r], HASHES) + 0.05 * w
+            grad = np.bincount(at, g[r] * x, HASHES) + 0.05 * w
             acc += grad**2
             w -= 0.3 * grad / np.sqrt(acc)
             bacc += g.sum() ** 2
@@ -287,7 +298,7 @@ class LineClassifier:
                     if len(seen) > 100_000:
                         seen.clear()
                     seen[known] = own
-            out.append(own + sum(map(w.__getitem__, {_hash(x) for x in page.around(i, n)})) + self.bias)
+            out.append(own + PLACE * sum(map(w.__getitem__, {_hash(x) for x in page.around(i, n)})) + self.bias)
         return out
 
     def marked(self, content: str | None, form: str | None, seen: dict) -> list[int]:
