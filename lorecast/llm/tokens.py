@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -164,21 +164,33 @@ def token_counts(df: DataFrame, carry: Sequence[str], text_col: str, name: str =
     return _encoded(df, carry, text_col, name, True, path, block_chars, hot_rows)
 
 
-def token_bytes(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
-    """(token, hex): the token-byte table of the vocabulary."""
-    rows = [(i, b.hex()) for b, i in _ranks(vocabulary(path)).items()]
-    return spark.createDataFrame(rows, "token int, hex string")
+def _texts(ids: pa.Array, table: pa.Array) -> pa.Array:
+    """The texts of lists of ids: the ids joined to the token-byte table by position, the bytes cut at the lists' ends."""
+    flat = ids.flatten()
+    known = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table) - 1)), False)
+    taken = table.take(pc.if_else(known, flat, pa.scalar(len(table) - 1, flat.type)))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    places = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :][np.concatenate([[0], ends])]
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(places)), taken.buffers()[2]])
+    try:
+        return whole.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([b.decode("utf-8", "replace") for b in whole.to_pylist()], pa.string())
 
 
 def decoded(df: DataFrame, id_col: str, ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:
-    """(id, text): ``ids`` as text again; empty and null lists give an empty text. Ids (``id_col``) are unique and not null.
+    """(id, text): ``ids`` as text again, without a shuffle; empty and null lists give an empty text.
 
-    Ids are exploded with their positions in runs of 4096, joined to the token-byte table, which is broadcast as it has the
-    vocabulary's size, and put together run by run. Bytes that are no UTF-8 come out as replacement signs.
+    The token-byte table is broadcast, as it has the vocabulary's size, and joined to the ids of a batch by position. Ids that
+    it lacks give nothing; bytes that are no UTF-8 come out as replacement signs.
     """
-    runs = df.select(F.col(id_col).alias("_id"), F.explode_outer(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(ids_col) - 1) .cast("int"), F.lit(4096)), lambda i: F.struct(i.alias("run"), F.slice(ids_col, i + 1, F.lit(4096)).alias("part")))).alias("r"))
-    tokens = runs.select("_id", "r.run", F.posexplode_outer("r.part").alias("pos", "token"))
-    named = tokens.join(F.broadcast(token_bytes(df.sparkSession, path)), "token", "left")
-    parts = named.groupBy("_id", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hex"))), lambda x: x["hex"]), "").alias("hex"))
-    whole = parts.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "hex"))), lambda x: x["hex"]), "").alias("hex"))
-    return whole.select(F.col("_id").alias(id_col), F.decode(F.unhex("hex"), "UTF-8").alias("text"))
+    ranks = df.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    @F.arrow_udf("string")
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        by_id = {i: b for b, i in _ranks(ranks.value).items()}
+        table = pa.array([by_id.get(i, b"") for i in range(max(by_id) + 2)], pa.large_binary())  # the last stands for unknown ids
+        for ids in batches:
+            yield _texts(ids, table)
+
+    return df.select(id_col, text(F.coalesce(F.col(ids_col), F.array().cast("array<int>"))).alias("text"))

@@ -27,6 +27,16 @@ def test_ids_counts_and_round_trip(spark, block_chars, hot_rows):
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
+def test_decoding_of_odd_lists(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [15496, -1, 99999, 995]), (4, [None, 15496]), (5, [187])], "doc_id int, ids array<int>")
+    assert {r.doc_id: r.text for r in decoded(df, "doc_id").collect()} == {1: "", 2: "", 3: "Hello,"[:5] + decoded_token(995), 4: "Hello", 5: "\ufffd" if len(decoded_token(187)) != 1 or decoded_token(187) == "\ufffd" else decoded_token(187)}
+
+
+def decoded_token(i):
+    whole = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    return whole.decode([i])
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert token_ids(df, ["doc_id"], "text").count() == 0
