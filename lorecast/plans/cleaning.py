@@ -65,6 +65,7 @@ def collection_versions(spark, d):
 
 _TAG = C.TAG.replace("'", "''")
 _NOISE = C.NOISE.replace("'", "''")
+_SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 QUERIES = {
     "clean_unicode": (
         clean_unicode,
@@ -85,7 +86,12 @@ QUERIES = {
         clean_noise_lines,
         f"SELECT id, length(kept) AS kept_chars, sha256(kept) AS hash FROM (SELECT id, array_to_string(list_filter(string_split(content, chr(10)), lambda x: NOT regexp_matches(x, '{_NOISE}')), chr(10)) AS kept FROM (SELECT DISTINCT id, content FROM document_chunks WHERE content IS NOT NULL))",
     ),
-    "clean_dedup_paragraphs": (clean_dedup_paragraphs, None),
+    "clean_dedup_paragraphs": (
+        clean_dedup_paragraphs,
+        rf"""WITH p AS (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM documents WHERE text IS NOT NULL),
+        k AS (SELECT doc_id, ps, list_transform(ps, lambda x: lower(regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g'))) AS ks FROM p)
+        SELECT doc_id, sha256(array_to_string(list_filter(ps, lambda x, i: i = 1 OR ks[i] = '' OR ks[i] <> ks[i - 1]), chr(10) || chr(10))) AS hash FROM k""",
+    ),
     "clean_chain_stats": (clean_chain_stats, None),
     "text_measures": (
         text_measures,
