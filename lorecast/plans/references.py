@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorecast.functions.keys import key
-from lorecast.operators.references import orphan_references, orphan_report, pair_orphans
+from lorecast.operators.references import orphan_references, orphan_report, pair_orphans, pair_references
+from lorecast.operators.skew import salted_join
 from lorecast.session import table
 
 
@@ -29,6 +30,17 @@ def p1_chunk_parents(spark: SparkSession, d: str) -> DataFrame:
     return orphan_references(chunks, docs, ["doc_id", "kb_id"], "partial").select(F.col("id").alias("chunk_id"), "doc_id", "kb_id")
 
 
+def p1_base_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Expected chunks that don't exist in the base of the pair's dataset; without a known base the chunk id alone must match."""
+    refs = pair_references(table(spark, d, "eval_qa_pairs")).where("ref_field = 'expected_chunk_ids'").select("qa_id", F.col("ref_id").alias("chunk_id"))
+    pairs = table(spark, d, "eval_qa_pairs").select(key("id").alias("qa_id"), key("dataset_id").alias("dataset_id")).distinct()
+    sets = table(spark, d, "eval_datasets").select(key("id").alias("dataset_id"), key("kb_id").alias("kb_id")).distinct()
+    based = salted_join(pairs, sets, ["dataset_id"], "left", F.col("qa_id")).select("qa_id", "kb_id")
+    chunks = table(spark, d, "document_chunks").select(key("id").alias("chunk_id"), key("kb_id").alias("kb_id"))
+    named = refs.dropna().distinct().join(based, "qa_id", "left")
+    return orphan_references(named, chunks, ["chunk_id", "kb_id"], "partial").select("qa_id", "chunk_id", "kb_id").distinct()
+
+
 _KEY = "nullif(lower(regexp_replace({0}, '^[\\s\\x{{00A0}}\\x{{200B}}\\x{{3000}}\\x{{FEFF}}]+|[\\s\\x{{00A0}}\\x{{200B}}\\x{{3000}}\\x{{FEFF}}]+$', '', 'g')), '')"
 K = _KEY.format
 _ORPHANS = f"""
@@ -59,6 +71,13 @@ QUERIES = {
         strftime(created_at, '%Y-%m') AS month, orphan_kind, count(*) AS orphans, count(DISTINCT qa_id) AS pairs
         FROM orphans GROUP BY 1, 2, 3""",
     ),
+    "p1_base_orphans": (
+        p1_base_orphans,
+        f"""WITH r AS (SELECT DISTINCT qa_id, {K('raw')} AS chunk_id FROM (SELECT {K('id')} AS qa_id, unnest(expected_chunk_ids) AS raw FROM eval_qa_pairs)),
+        b AS (SELECT DISTINCT {K('p.id')} AS qa_id, s.kb_id FROM eval_qa_pairs p LEFT JOIN (SELECT DISTINCT {K('id')} AS id, {K('kb_id')} AS kb_id FROM eval_datasets) s ON s.id = {K('p.dataset_id')}),
+        c AS (SELECT DISTINCT {K('id')} AS chunk_id, {K('kb_id')} AS kb_id FROM document_chunks)
+        SELECT DISTINCT qa_id, r.chunk_id, b.kb_id FROM r JOIN b USING (qa_id) LEFT JOIN c ON c.chunk_id = r.chunk_id AND (b.kb_id IS NULL OR c.kb_id = b.kb_id) WHERE r.chunk_id IS NOT NULL AND c.chunk_id IS NULL""",
+    ),
     "p1_chunk_parents": (
         p1_chunk_parents,
         f"""WITH c AS (SELECT DISTINCT id, {K('doc_id')} AS doc_id, {K('kb_id')} AS kb_id FROM document_chunks),
