@@ -17,24 +17,30 @@ def reciprocal_rank(got: Column, want: Column) -> Column:
     return F.coalesce(1 / F.array_min(places), F.lit(0.0))
 
 
-def recall_at_k(got: Column, want: Column, k: int) -> Column:
-    """Wanted results among the first ``k`` over the length of the wanted list; null if nothing is wanted."""
-    return F.when(F.size(want) > 0, F.size(F.array_intersect(F.slice(got, 1, k), want)) / F.size(want))
+def recall_at_k(got: Column, want: Column, k: int, total: Column | None = None) -> Column:
+    """Wanted results among the first ``k`` over the number wanted; null if nothing is wanted.
 
+    ``total`` is that number where ``want`` holds only those of the wanted results that were found.
+    """
+    total = F.size(want) if total is None else total
+    return F.when(total > 0, F.size(F.array_intersect(F.slice(got, 1, k), want)) / total)
 
-def ndcg_at_k(got: Column, want: Column, k: int) -> Column:
-    """Binary gains, each wanted result counted where it first occurs, over the best order; 0 if nothing is wanted."""
+
+def ndcg_at_k(got: Column, want: Column, k: int, total: Column | None = None) -> Column:
+    """Binary gains, each wanted result counted where it first occurs, over the best order; 0 if nothing is wanted. ``total``: see recall_at_k."""
+    total = F.size(F.array_distinct(want)) if total is None else total
     first = F.slice(got, 1, k)
     gain = lambda p: 1 / F.log2(p + 1)
     sums = F.aggregate(F.transform(F.array_distinct(want), lambda w: F.array_position(first, w)), F.lit(0.0), lambda a, p: a + F.when(p > 0, gain(p)).otherwise(0.0))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(F.array_distinct(want)), F.lit(k)))), F.lit(0.0), lambda a, i: a + gain(i))
-    return F.when(F.size(want) > 0, sums / ideal).otherwise(0.0)
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(total.cast("int"), F.lit(k)))), F.lit(0.0), lambda a, i: a + gain(i))
+    return F.when(total > 0, sums / ideal).otherwise(0.0)
 
 
 def measured(lists: DataFrame, k: int) -> DataFrame:
-    """``lists`` (query, got, want) with hit, mrr, ndcg and recall of each query."""
+    """``lists`` (query, got, want[, total]) with hit, mrr, ndcg and recall of each query; ``total``: see recall_at_k."""
     got, want = F.col("got"), F.col("want")
-    return lists.select("query", hit_at_k(got, want, k).alias("hit"), reciprocal_rank(got, want).alias("mrr"), ndcg_at_k(got, want, k).alias("ndcg"), recall_at_k(got, want, k).alias("recall"))
+    total = F.col("total") if "total" in lists.columns else None
+    return lists.select("query", hit_at_k(got, want, k).alias("hit"), reciprocal_rank(got, want).alias("mrr"), ndcg_at_k(got, want, k, total).alias("ndcg"), recall_at_k(got, want, k, total).alias("recall"))
 
 
 def summary(per_query: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from lorecast.functions import questions as Q
 from lorecast.functions.keys import key
 from lorecast.operators import metrics
 from lorecast.operators import retrieval as R
-from lorecast.plans.retrieval import K, _dense, _lists, _vectors
+from lorecast.plans.retrieval import K, _dense, _judged, _vectors
 from lorecast.session import table
 
 
@@ -36,7 +36,6 @@ def prompt_build(spark, d):
 
 def ablation_grid(spark, d):
     """The fusion's weight varied in one plan: the measures of each setting over all queries."""
-    lists = _lists(spark, d).select("query", "want")
     dense = _dense(spark, d, 10)
     v = _vectors(spark, d)
     same = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label").join(v.select(F.col("vec_id").alias("doc"), "label"), "label")
@@ -46,9 +45,8 @@ def ablation_grid(spark, d):
     score = F.coalesce(F.col("alpha") / F.col("rd"), F.lit(0.0)) + F.coalesce((1 - F.col("alpha")) / F.col("rs"), F.lit(0.0))
     order = Window.partitionBy("alpha", "query").orderBy(F.desc(F.round(score, 9)), F.asc_nulls_last("rd"), F.asc_nulls_last("rs"))
     ranked = grid.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 10)
-    got = ranked.groupBy("alpha", "query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("got"))
-    g, want = F.col("got"), F.col("want")
-    per = got.join(lists, "query").select("alpha", metrics.hit_at_k(g, want, K).alias("hit"), metrics.reciprocal_rank(g, want).alias("mrr"), metrics.ndcg_at_k(g, want, K).alias("ndcg"))
+    g, want, total = F.col("got"), F.col("want"), F.col("total")
+    per = _judged(spark, d, ranked, "alpha").select("alpha", metrics.hit_at_k(g, want, K).alias("hit"), metrics.reciprocal_rank(g, want).alias("mrr"), metrics.ndcg_at_k(g, want, K, total).alias("ndcg"))
     return per.groupBy("alpha").agg(F.count("*").alias("queries"), F.round(F.avg("hit"), 4).alias("hit"), F.round(F.avg("mrr"), 4).alias("mrr"), F.round(F.avg("ndcg"), 4).alias("ndcg"))
 
 

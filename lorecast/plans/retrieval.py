@@ -59,14 +59,30 @@ def rerank_lexical(spark, d):
     return R.reranked(candidates, asking, docs, "doc_id", "text", K).select("query", "doc", "rank", F.round("score", 4).alias("score"))
 
 
-def _lists(spark, d, k=10):
-    """Per query the ids found and those wanted: the neighbours' own label counts as relevance."""
-    found = _dense(spark, d, k).groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias("got"))
+def _totals(spark, d):
+    """(query, label, total): each query's label and how many other rows of the table have it, whether found or not."""
     v = _vectors(spark, d)
-    near = _dense(spark, d, k).select("query", "doc").join(v.select(F.col("vec_id").alias("doc"), F.col("label").alias("doc_label")), "doc")
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label")
-    want = asked.join(near, "query", "left").groupBy("query").agg(F.array_sort(F.collect_set(F.when((F.col("label") == F.col("doc_label")) & (F.col("doc") != F.col("query")), F.col("doc")))).alias("want"))
-    return found.join(want, "query")
+    sizes = v.groupBy("label").agg(F.count("*").alias("rows"))
+    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "label").join(sizes, "label", "left")
+    return asked.select("query", "label", F.coalesce(F.col("rows") - 1, F.lit(0)).alias("total"))  # no label: nothing is wanted
+
+
+def _judged(spark, d, ranked, *by):
+    """Per query (and ``by``) the ids found in order, those of them that are wanted, and the number wanted.
+
+    Rows of the query's label count as relevant, except the query itself. Each result is told by its own label.
+    """
+    labels = _vectors(spark, d).select(F.col("vec_id").alias("doc"), F.col("label").alias("doc_label"))
+    hits = ranked.select(*by, "query", "rank", "doc").join(labels, "doc").join(_totals(spark, d), "query")
+    wanted = (F.col("doc_label") == F.col("label")) & (F.col("doc") != F.col("query"))
+    in_order = F.array_sort(F.collect_list(F.struct("rank", "doc", F.coalesce(wanted, F.lit(False)).alias("wanted"))))
+    lists = hits.groupBy(*by, "query", "total").agg(in_order.alias("hits"))
+    doc = lambda x: x["doc"]
+    return lists.select(*by, "query", F.transform("hits", doc).alias("got"), F.transform(F.filter("hits", lambda x: x["wanted"]), doc).alias("want"), "total")
+
+
+def _lists(spark, d, k=10):
+    return _judged(spark, d, _dense(spark, d, k))
 
 
 def retrieval_metrics(spark, d):
