@@ -50,15 +50,21 @@ KNOWLEDGE = (
     "字典", "元组", "集合", "数组", "算法", "数据结构", "数据库", "前端", "后端", "框架", "库", "包", "接口", "API", "测试",
     "调试", "部署", "环境", "配置", "版本", "命令行", "终端", "怎么写", "怎么用", "如何", "怎样", "什么是", "什么意思",
     "区别", "对比", "比较", "优缺点", "选择", "什么时候", "报错", "出错", "不工作", "bug", "问题", "修复", "解决",
-    "语法", "用法", "示例", "例子", "教程", "文档", "设计模式", "架构", "重构", "优化", "性能", "线程", "进程", "协程", "锁", "事务", "索引", "缓存",
+    "语法", "用法", "示例", "例子", "教程", "文档", "设计模式", "架构", "重构", "优化", "性能",
+    "tcp", "http", "https", "redis", "mysql", "sql", "docker", "hashmap", "arraylist", "linkedlist", "hashset",
+    "线程", "进程", "协程", "锁", "事务", "索引", "缓存", "队列", "消息队列", "中间件", "微服务", "分布式", "多线程", "线程池", "线程安全", "同步", "异步",
+    "jvm", "jdk", "jre", "maven", "gradle", "tomcat", "spring", "springboot", "mybatis", "hibernate",
+    "三次握手", "四次挥手", "协议", "网络", "操作系统", "内存管理", "垃圾回收", "类加载", "反射", "容器", "kubernetes", "k8s", "devops",
+    "时间复杂度", "空间复杂度", "排序", "查找", "快速排序", "归并排序", "冒泡排序", "二分查找", "动态规划", "面向对象", "继承", "多态", "封装", "抽象类",
     "how to", "what is", "why does", "explain", "define", "difference between", "compare", "example of", "tutorial",
     "syntax", "usage", "error", "exception", "function", "variable", "class", "object", "import", "module", "package", "framework",
     "algorithm", "data structure", "design pattern", "thread", "process", "coroutine", "mutex", "deadlock",
+    "dependency injection", "ioc", "aop", "rest", "restful", "graphql", "websocket", "oauth", "jwt", "nosql",
 )
 SHORT, TINY, LONGEST = 30, 8, 512
 # Fillers at either end of a question, and punctuation in two widths.
-LEADING = r"^(?:嗯|呃|啊|哦|噢|那个|这个|就是|就是说|我想问|我想知道|请问一下|问一下|问个问题|um+|uh+|er+|hmm+|well,?\s|so,?\s|like,?\s)"
-TRAILING = r"(?:谢谢|感谢|多谢|3q|thanks?|thank\s?you|啊|吧|吗|呢|嘛|呗|呐|哦|噢|咯|啦|呀|哈|可以吗|行吗|对吗|好吗)\s*$"
+LEADING = r"^(?:嗯|呃|啊|哦|噢|那个|这个|就是|就是说|我想问|我想知道|请问一下|问一下|问个问题|um+|uh+|er+|hmm+|well,?\s|so,?\s|like,?\s|那个啥|那个什么|内个|那啥)"
+TRAILING = r"(?:谢谢|感谢|多谢|3q|thanks?|thank\s?you|啊|吧|吗|呢|嘛|呗|呐|哦|噢|咯|啦|呀|哈|可以吗|行吗|对吗|好吗|OK吗|可以么|行么)\s*$"
 WIDE, NARROW = "？！，。；：（）【】《》＂＇～％＠＃＆＊＋－／＝", "?!,.;:()[]<>\"'~%@#&*+-/="
 
 
