@@ -20,10 +20,10 @@ def _asking(spark, d):
 
 
 def bm25_index_stats(spark, d):
-    """The most and least telling terms: document frequency and weight of every term that more than one document has."""
+    """The most and least telling terms: document frequency and weight of every term."""
     docs = _docs(spark, d)
     stats = R.term_statistics(R.postings(docs, "doc_id", "text"), docs.count())
-    return stats.where("df > 1").select("term", "df", F.round("idf", 6).alias("idf"))
+    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, d):
