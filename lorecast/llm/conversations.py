@@ -11,34 +11,19 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lorecast.functions.keys import BLANK, is_blank, key
+from lorecast.functions.keys import is_blank, key
+from lorecast.functions.roles import ROLES, readable_role  # noqa: F401
 from lorecast.operators.skew import hot_keys, salted_join
 
-# Spellings of the roles.
-ROLES = {
-    "user": ("user", "human", "customer", "learner", "student", "client", "usr", "u", "h", "用户", "用戶", "使用者", "人类", "学生", "学员", "benutzer", "nutzer", "benutzerin", "mensch", "utilisateur", "utilisatrice", "usager", "humain", "élève"),
-    "assistant": ("assistant", "bot", "ai", "agent", "model", "chatbot", "gpt", "asst", "a", "tutor", "助手", "助理", "机器人", "人工智能", "模型", "assistent", "ki", "assistente", "ia", "modèle"),
-    "system": ("system", "sys", "developer", "系统", "系統", "système", "systeme", "anweisung"),
-}
-
 #: A conversation with more rows than this is cut into slices of time.
 SLICE_ROWS = 200_000
 SLICES = 64
 
 
-def readable_role(role: Column) -> Column:
-    """user, assistant or system in any known spelling; null if the role can't be read."""
-    bare = F.lower(F.regexp_replace(role, f"[{BLANK}\\p{{Punct}}：]+", ""))
-    found = F.lit(None).cast("string")
-    for name, spellings in ROLES.items():
-        found = F.when(bare.isin(*spellings), name).otherwise(found)
-    return found
-
-
 def message_rows(messages: DataFrame, reply_to: str | None = None) -> DataFrame:
     """The rows that count: conversation_id, role (null if unreadable), content, created_at[, id, parent, parent_at].
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from lorecast.functions import questions as Q
 from lorecast.functions.keys import key
+from lorecast.functions.roles import readable_role
 from lorecast.operators import metrics
 from lorecast.operators import retrieval as R
 from lorecast.plans.retrieval import K, _dense, _judged, _vectors
@@ -14,8 +15,8 @@ from lorecast.session import table
 
 
 def intent_classify(spark, d):
-    """Intents of user messages: how many of each, and their mean length."""
-    m = table(spark, d, "messages").where("content is not null and lower(trim(role)) = 'user'").select("id", "content").distinct()
+    """Intents of user messages, whatever the spelling of the role: how many of each, and their signs."""
+    m = table(spark, d, "messages").where(F.col("content").isNotNull() & (readable_role(F.col("role")) == "user")).select("id", "content").distinct()
     return m.select(Q.intent(F.col("content")).alias("intent"), F.length("content").alias("n")).groupBy("intent").agg(F.count("*").alias("messages"), F.sum("n").alias("signs"))
 
 
@@ -25,9 +26,12 @@ def query_clean(spark, d):
 
 
 def prompt_build(spark, d):
-    """For each user message the prompt of its turns so far, as a hash and a length."""
+    """For each user message the prompt of its turns so far, as a hash and a length.
+
+    Turns bear their readable role; one whose role can't be read stays in the history under the role as written.
+    """
     m = table(spark, d, "messages").where("conversation_id is not null and created_at is not null and content is not null and role is not null")
-    m = m.select("id", key("conversation_id").alias("c"), F.lower(F.trim("role")).alias("role"), "content", "created_at").distinct()
+    m = m.select("id", key("conversation_id").alias("c"), F.coalesce(readable_role(F.col("role")), F.lower(F.trim("role"))).alias("role"), "content", "created_at").distinct()
     w = Window.partitionBy("c").orderBy("created_at", "id").rowsBetween(-6, -1)
     turns = m.withColumn("history", F.collect_list(F.struct("role", "content")).over(w)).where("role = 'user'")
     p = Q.prompt(F.array().cast("array<string>"), F.col("history"), F.col("content"))
