@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,12 +100,45 @@ def top_documents(spark, d):
     return docs.withColumn("rank", F.row_number().over(order)).where("rank <= 10")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number, length and hash of each document's chunks from rows in order: a task holds one chunk and one running hash."""
+    started, doc, before, chunks, signs, digest, out = False, None, None, 0, 0, None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i) for i in range(4))):
+            doc_id, *chunk = (x.as_py() for x in row)
+            if started and doc_id == doc:
+                if chunk == before:
+                    continue  # written twice
+                digest.update(b" ")
+                signs += 1
+            else:
+                if started:
+                    out.append((doc, chunks, signs, digest.hexdigest()))
+                started, doc, chunks, signs, digest = True, doc_id, 0, 0, hashlib.sha256()
+            before, content = chunk, chunk[-1]
+            digest.update(content.encode())
+            chunks, signs = chunks + 1, signs + len(content)
+        if len(out) > 5000:
+            yield _doc_rows(out)
+            out = []
+    if started:
+        out.append((doc, chunks, signs, digest.hexdigest()))
+    yield _doc_rows(out)
+
+
+def _doc_rows(out: list[tuple]) -> pa.RecordBatch:
+    kinds = {"doc_id": pa.string(), "chunks": pa.int64(), "signs": pa.int64(), "hash": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+
 def doc_text_from_chunks(spark, d):
-    """Each document's chunks joined in order: number, length and hash of the whole."""
-    c = table(spark, d, "document_chunks").where("content is not null").select("id", "doc_id", "chunk_index", "content").distinct()
-    parts = F.array_sort(F.collect_list(F.struct("chunk_index", "id", "content")))
-    whole = c.groupBy("doc_id").agg(parts.alias("parts")).select("doc_id", F.array_join(F.transform("parts", lambda p: p["content"]), " ").alias("t"), F.size("parts").alias("chunks"))
-    return whole.select("doc_id", "chunks", F.length("t").alias("signs"), F.sha2("t", 256).alias("hash"))
+    """Each document's chunks joined in order: number, length and hash of the whole, which is nowhere held.
+
+    Rows written twice stand next to each other once sorted, and count once.
+    """
+    c = table(spark, d, "document_chunks").where("content is not null").select("doc_id", "chunk_index", "id", "content")
+    ordered = c.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index", "id", "content")
+    return ordered.mapInArrow(_joined, "doc_id string, chunks bigint, signs bigint, hash string")
 
 
 def keyword_scan(spark, d):
@@ -127,7 +164,10 @@ def tag_sets(spark, d):
     """Tags per question type: distinct tags, and pairs whose tags hold both of two."""
     p = table(spark, d, "eval_qa_pairs").dropDuplicates(["id"]).select("question_type", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     both = F.size(F.array_except(F.array(F.lit("loops"), F.lit("types")), "tags")) == 0
-    return p.groupBy("question_type").agg(F.count("*").alias("pairs"), F.count_if(both).alias("with_both"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("tags")))), ",").alias("all_tags"))
+    counts = p.groupBy("question_type").agg(F.count("*").alias("pairs"), F.count_if(both).alias("with_both"))
+    distinct = p.select(F.col("question_type").alias("of"), F.explode("tags").alias("tag")).distinct()
+    named = distinct.groupBy("of").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("all_tags"))  # a type's distinct tags
+    return counts.join(named, F.col("question_type").eqNullSafe(F.col("of")), "left").select("question_type", "pairs", "with_both", F.coalesce("all_tags", F.lit("")).alias("all_tags"))
 
 
 def deletion_summary(spark, d):
