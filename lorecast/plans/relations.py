@@ -45,11 +45,21 @@ def documents_in_pairs(spark, d):
 
 
 def vector_orphans(spark, d):
-    """Vector ids against chunk ids, per base: on both sides, only chunk, only vector of another chunk, none."""
+    """Each chunk's vector id against its own id, per base; orphan_vectors has all vector ids against all chunk ids."""
     c = _once(spark, d, "document_chunks", "id", "kb_id", "vector_id")
     return c.groupBy("kb_id").agg(F.count_if(F.col("vector_id") == F.col("id")).alias("same"), F.count_if(F.col("vector_id").isNull()).alias("no_vector"), F.count_if(F.col("vector_id") != F.col("id")).alias("other"))
 
 
+def orphan_vectors(spark, d):
+    """Distinct vector ids against distinct chunk ids of the same base: how many are on both sides, only vector, only chunk."""
+    c = table(spark, d, "document_chunks")
+    vectors = c.select("kb_id", key("vector_id").alias("id"), F.lit(True).alias("vector"), F.lit(False).alias("chunk"))
+    chunks = c.select("kb_id", key("id").alias("id"), F.lit(False).alias("vector"), F.lit(True).alias("chunk"))
+    ids = vectors.unionAll(chunks).dropna(subset=["id"]).groupBy("kb_id", "id").agg(F.max("vector").alias("vector"), F.max("chunk").alias("chunk"))  # both anti-joins at once, a base may be null
+    v, x = F.col("vector"), F.col("chunk")
+    return ids.groupBy("kb_id").agg(F.count_if(v & x).alias("both"), F.count_if(v & ~x).alias("only_vector"), F.count_if(x & ~v).alias("only_chunk"))
+
+
 def title_dedup(spark, d):
     """The newest document of each title and base, and how many it replaces."""
     docs = table(spark, d, "documents").select("kb_id", "title", "doc_id", "created_at")
@@ -195,6 +205,12 @@ QUERIES = {
         vector_orphans,
         "SELECT kb_id, count(*) FILTER (WHERE vector_id = id) AS same, count(*) FILTER (WHERE vector_id IS NULL) AS no_vector, count(*) FILTER (WHERE vector_id <> id) AS other FROM (SELECT DISTINCT id, kb_id, vector_id FROM document_chunks) GROUP BY 1",
     ),
+    "orphan_vectors": (
+        orphan_vectors,
+        f"""SELECT coalesce(v.kb_id, c.kb_id) AS kb_id, count(*) FILTER (WHERE v.id IS NOT NULL AND c.id IS NOT NULL) AS both, count(*) FILTER (WHERE c.id IS NULL) AS only_vector, count(*) FILTER (WHERE v.id IS NULL) AS only_chunk
+        FROM (SELECT DISTINCT kb_id, {K('vector_id')} AS id FROM document_chunks WHERE {K('vector_id')} IS NOT NULL) v
+        FULL JOIN (SELECT DISTINCT kb_id, {K('id')} AS id FROM document_chunks WHERE {K('id')} IS NOT NULL) c ON v.id = c.id AND v.kb_id IS NOT DISTINCT FROM c.kb_id GROUP BY 1""",
+    ),
     "title_dedup": (title_dedup, "SELECT kb_id, title, max_by(doc_id, (created_at, doc_id)) AS doc_id, count(*) - 1 AS replaced FROM documents GROUP BY 1, 2"),
     "question_dedup": (
         question_dedup,
