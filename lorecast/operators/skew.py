@@ -7,21 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many keys are salted. A key beyond them holds less than 1/HOT_KEYS of all rows.
-HOT_KEYS = 512
-#: Fewer rows of one key than this are no burden for one task.
+from lorecast.session import write_shared
+
+#: A key with more rows than this is spread over several tasks, about so many rows for each.
 HOT_ROWS = 500_000
-SALTS = 64
+#: The table of hot keys is broadcast: 16 bytes a key, so at most 16 MB.
+MOST_HOT = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, most: int = HOT_KEYS) -> list[int]:
-    """Hashes (xxhash64) of the at most ``most`` most frequent keys with ``min_rows`` rows or more; null keys are left out.
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS, most: int = MOST_HOT) -> tuple[DataFrame, int]:
+    """(key_hash, salts) of every key with ``min_rows`` rows or more, and how many they are; null keys are left out.
 
-    Counts are combined before the shuffle; what reaches the driver is bounded by ``most`` whatever the input.
+    ``salts`` is the number of tasks that the key's rows need. There are at most rows / min_rows such keys; should that be
+    above ``most``, the limit is doubled until the table is small enough to be broadcast. It is written, not collected.
     """
     counts = df.select(*keys).dropna().groupBy(*keys).count().where(F.col("count") >= min_rows)
-    rows = counts.select("count", F.xxhash64(*keys).alias("h")).orderBy(F.desc("count"), "h").limit(most).collect()
-    return [r.h for r in rows]
+    hot = write_shared(counts.select(F.xxhash64(*keys).alias("key_hash"), "count").groupBy("key_hash").agg(F.sum("count").alias("count")), "hot")
+    while (n := hot.count()) > most:
+        min_rows *= 2
+        hot = hot.where(F.col("count") >= min_rows)
+    return hot.select("key_hash", F.ceil(F.col("count") / min_rows).cast("int").alias("salts")), n
 
 
 def salted_join(
@@ -31,20 +36,20 @@ def salted_join(
     how: str,
     spread: Column,
     min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """``left.join(right, keys, how)`` where hot keys of ``left`` are spread over ``salts`` tasks.
+    """``left.join(right, keys, how)`` where every hot key of ``left`` is spread over as many tasks as its rows need.
 
     ``how`` keeps left rows as they are: inner, left, left_semi or left_anti. ``spread`` is an expression of ``left`` that
     differs among the rows of one key; keys have the same types on both sides. Rows of ``right`` are repeated for hot keys only. No key is hot: a plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join can't do {how!r}")
-    hot = hot_keys(left, keys, min_rows)
-    if not hot:
+    hot, n = hot_keys(left, keys, min_rows)
+    if not n:
         return left.join(right, list(keys), how)
-    is_hot = F.xxhash64(*keys).isin(hot)
-    salted = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.withColumn("_salt", F.explode(copies))
+    hot = F.broadcast(hot.withColumnsRenamed({"key_hash": "_hot", "salts": "_salts"}))  # at most MOST_HOT rows
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int")
+    salted = left.join(hot, F.xxhash64(*keys) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    repeated = right.join(hot, F.xxhash64(*keys) == F.col("_hot"), "left").withColumn("_salt", copies).drop("_hot", "_salts")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

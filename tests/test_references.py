@@ -71,9 +71,32 @@ def test_pair_orphans(spark, hot_rows):
 def test_salted_join_equals_plain(spark):
     left = spark.range(2000).selectExpr("id", "case when id % 3 = 0 then 'hot' else cast(id as string) end as k")
     right = spark.createDataFrame([("hot", 1), ("5", 2), ("hot", 3)], "k string, v int")
-    assert len(hot_keys(left, ["k"], 100)) == 1
+    hot, n = hot_keys(left, ["k"], 100)
+    assert n == 1 and [r.salts for r in hot.collect()] == [7]
     for how in ("inner", "left", "left_semi", "left_anti"):
         a, b = salted_join(left, right, ["k"], how, left["id"], 100), left.join(right, "k", how)
         assert sorted(map(tuple, a.select(*b.columns).collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
     with pytest.raises(ValueError):
         salted_join(left, right, ["k"], "full", left["id"])
+
+
+def test_every_hot_key_is_salted(spark):
+    """600 hot keys, more rows for some: each gets as many salts as it needs, and none is left whole."""
+    left = spark.range(600 * 20).selectExpr("id", "cast(id % 600 as string) as k").unionByName(spark.range(500).selectExpr("id + 20000 as id", "'7' as k"))
+    hot, n = hot_keys(left, ["k"], 20)
+    assert n == 600 and sorted(r.salts for r in hot.collect())[-2:] == [1, 26]
+    few, m = hot_keys(left, ["k"], 20, most=10)
+    assert m == 1 and few.first().salts > 1
+    right = left.select("k").distinct()
+    assert salted_join(left, right, ["k"], "left_semi", left["id"], 20).count() == 600 * 20 + 500
+    assert salted_join(left, right, ["k"], "left_anti", left["id"], 20).count() == 0
+
+
+def test_written_tables_are_released(spark):
+    from lorecast.session import release_shared, shared_dir, write_shared
+
+    release_shared(spark)
+    made = write_shared(spark.range(3), "t")
+    path = made.inputFiles()[0]
+    assert path.startswith(shared_dir(spark)) or shared_dir(spark).replace("file://", "") in path
+    assert release_shared(spark) == 1 and release_shared(spark) == 0
