@@ -1,57 +1,53 @@
 """Conversations rebuilt from message rows: Kahn's algorithm over reply graphs, then checks of alternation and completeness.
 
-A conversation of very many rows is cut into slices of time, each ordered by itself: every edge of a valid reply graph leads
-forward in time, so the slices' orders follow one another, and only their first and last roles meet at the cuts.
+All rows are sorted by conversation and time over range partitions, so a conversation of any length is spread over as many
+tasks as its rows need. Within a task a conversation is ordered in slices: every edge of a valid reply graph leads forward in
+time, so the slices' orders follow one another. What a task sees whole it judges at once; of conversations that are cut, only
+a row per slice comes together, with the roles at the cuts.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorecast.functions.keys import is_blank, key
 from lorecast.functions.roles import ROLES, readable_role  # noqa: F401
-from lorecast.operators.skew import hot_keys, salted_join
+from lorecast.operators.skew import salted_join
+from lorecast.session import write_shared
 
-#: A conversation with more rows than this is cut into slices of time.
-SLICE_ROWS = 200_000
-SLICES = 64
+#: A task orders at most so many rows of a conversation at a time.
+SLICE_ROWS = 100_000
+_RANK = {"system": 0, "user": 1, "assistant": 2}
 
 
-def message_rows(messages: DataFrame, reply_to: str | None = None) -> DataFrame:
-    """The rows that count: conversation_id, role (null if unreadable), content, created_at[, id, parent, parent_at].
+def message_rows(messages: DataFrame, content: bool, reply_to: str | None = None) -> DataFrame:
+    """conversation_id, at (microseconds), role (null if unreadable), rank, raw, sign[, content][, id, parent, parent_at] of each row.
 
-    Rows without conversation id or with blank content are left out; rows that agree in conversation, role, content and time
-    count once (of unreadable roles the spelling decides). Other columns play no part.
+    ``sign`` is the content's digest, null if it is blank. ``raw`` keeps the spelling of unreadable roles. ``parent`` is the
+    row that ``reply_to`` names, or the first of its copies.
     """
+    blank = is_blank(F.col("content"))
+    role = readable_role(F.col("role"))
+    rank = F.when(role == "system", 0).when(role == "user", 1).when(role == "assistant", 2)
+    kept = lambda c: F.when(~blank, c)  # noqa: E731 - of a blank row only the conversation counts
     rows = messages.select(
-        key("conversation_id").alias("conversation_id"), readable_role(F.col("role")).alias("role"), F.lower(F.trim("role")).alias("raw"),
-        "content", "created_at", *([key("id").alias("id"), key(reply_to).alias("parent")] if reply_to else []),
-    ).where(F.col("conversation_id").isNotNull() & ~is_blank(F.col("content")))
-    rows = rows.withColumn("raw", F.when(F.col("role").isNull(), F.col("raw"))).withColumn("h", F.xxhash64("content")).withColumn("h2", F.xxhash64(F.lit(1), "content"))
-    once = rows.dropDuplicates(["conversation_id", "role", "raw", "created_at", "h", "h2"]).drop("raw", "h", "h2")
+        key("conversation_id").alias("conversation_id"), kept(F.unix_micros(F.col("created_at").cast("timestamp"))).alias("at"), kept(role).alias("role"), kept(rank).alias("rank"),
+        kept(F.when(role.isNull(), F.lower(F.trim("role")))).alias("raw"), kept(F.md5("content")).alias("sign"),
+        *([kept(F.col("content")).alias("content")] if content else []), *([key("id").alias("id"), key(reply_to).alias("parent")] if reply_to else []),
+    ).where(F.col("conversation_id").isNotNull())
     if not reply_to:
-        return once
-    parents = once.select("conversation_id", F.col("id").alias("parent"), F.col("created_at").alias("parent_at")).dropna(subset=["parent"]).dropDuplicates(["conversation_id", "parent"])
-    return salted_join(once, parents, ["conversation_id", "parent"], "left", F.col("id"))
-
-
-def _sliced(rows: DataFrame, slice_rows: int) -> DataFrame:
-    """``rows`` with their slice: 0, or for very long conversations the number of cuts before the row's time."""
-    hot = hot_keys(rows, ["conversation_id"], slice_rows)
-    if not hot:
-        return rows.withColumn("slice", F.lit(0))
-    is_hot = F.xxhash64("conversation_id").isin(hot)
-    at = F.unix_micros(F.col("created_at").cast("timestamp"))
-    cuts = rows.where(is_hot).groupBy("conversation_id").agg(F.percentile_approx(at, [i / SLICES for i in range(1, SLICES)], 10_000).alias("cuts"))
-    with_cuts = rows.join(F.broadcast(cuts), "conversation_id", "left")  # as many rows as there are hot keys, bounded by HOT_KEYS
-    return with_cuts.withColumn("slice", F.coalesce(F.size(F.filter("cuts", lambda c: c < at)), F.lit(0))).withColumn("slice", F.greatest("slice", F.lit(0))).drop("cuts")
+        return rows
+    rows = rows.withColumn("first", F.min("id").over(Window.partitionBy("conversation_id", "at", "role", "raw", "sign")))
+    named = rows.where("sign is not null").select("conversation_id", F.col("id").alias("parent"), F.col("first").alias("answered"), F.col("at").alias("parent_at")).dropna(subset=["parent"]).dropDuplicates(["conversation_id", "parent"])
+    found = salted_join(rows, named, ["conversation_id", "parent"], "left", F.col("id"))
+    return found.withColumn("parent", F.coalesce("answered", "parent")).drop("answered", "first")
 
 
 def topological_order(nodes: list[tuple], edges: dict[int, list[int]]) -> list[int]:
@@ -73,9 +69,6 @@ def topological_order(nodes: list[tuple], edges: dict[int, list[int]]) -> list[i
     return order
 
 
-_RANK = {"system": 0, "user": 1, "assistant": 2}
-
-
 def reply_graph(times: list, roles: list, parents: list | None, ids: list | None) -> tuple[list[tuple], dict[int, list[int]]]:
     """Nodes (time, role rank, number) of the rows with a time and a role, and the edges from what is answered to the answer.
 
@@ -105,130 +98,150 @@ def reply_graph(times: list, roles: list, parents: list | None, ids: list | None
     return nodes, edges
 
 
-def _order_slices(linked: bool, carry: list[str]):
+class _Slice:
+    """Rows of one conversation in order of time, ordered as a graph and summed up."""
+
+    def __init__(self, rows: list[tuple], linked: bool):
+        good = [r for r in rows if r[2] is not None and r[1] is not None]
+        self.size = len(good)
+        fault = len(good) < len(rows)
+        if linked:  # an answer to nothing or to a later row
+            early = [r for r in good if not (r[-2] is not None and (r[-1] is None or r[-1] > r[1]))]
+            fault, good = fault or len(early) < len(good), early
+        nodes, edges = reply_graph([r[1] for r in good], [r[2] for r in good], [r[-2] for r in good] if linked else None, [r[-3] for r in good] if linked else None)
+        self.order = [good[i] for i in topological_order(nodes, edges) if i < len(good)]
+        self.left_over = len(good) - len(self.order)  # on or after a cycle
+        self.fault = fault or self.left_over > 0
+        self.bare = all(r[2] == "system" for r in rows)
+        turns = [r[2] for r in self.order if r[2] != "system"]
+        self.turns, self.opens, self.ends = len(turns), turns[0] if turns else None, turns[-1] if turns else None
+        self.twice = any(b == "assistant" and a != "user" for a, b in zip(turns, turns[1:]))
+        self.unanswered = any(a == "user" and b != "assistant" for a, b in zip(turns, turns[1:]))
+
+    def reason(self) -> str | None:
+        """Why a conversation that is this slice is dropped."""
+        if self.bare:
+            return "empty"
+        if self.fault or self.twice or self.opens == "assistant":
+            return "broken"
+        return "missing_reply" if self.unanswered or self.ends == "user" else None
+
+
+_FACTS = ("fault", "bare", "turns", "twice", "unanswered", "opens", "ends", "size", "left_over")
+_ROW = pa.schema([
+    ("conversation_id", pa.string()), ("slice", pa.int64()), ("whole", pa.bool_()), ("reason", pa.string()), *((n, pa.bool_()) for n in ("fault", "bare")), ("turns", pa.int64()),
+    *((n, pa.bool_()) for n in ("twice", "unanswered")), *((n, pa.string()) for n in ("opens", "ends")), ("size", pa.int64()), ("left_over", pa.int64()), ("pos", pa.int64()), ("role", pa.string()), ("at", pa.int64()), ("content", pa.string()),
+])
+_DDL = "conversation_id string, slice bigint, whole boolean, reason string, fault boolean, bare boolean, turns bigint, twice boolean, unanswered boolean, opens string, ends string, size bigint, left_over bigint, pos bigint, role string, at bigint, content string"
+
+
+def _order(content: bool, linked: bool, slice_rows: int):
+    """A row per slice with its facts (``pos`` null), and given ``content`` the rows of slices that may be kept."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for b in batches:
-                t = {n: b.column(n).to_pylist() for n in b.schema.names}
-                yield from zip(*(t[n] for n in names))
-
-        names = ["conversation_id", "slice", "role", "at", *(["id", "parent", "parent_at"] if linked else []), *carry]
-        out: dict[str, list] = {n: [] for n in ["conversation_id", "slice", "role", "at", *carry, "pos", "prev_turn", "next_turn", "fault"]}
-        for (conv, cut), group in groupby(rows(), key=lambda r: r[:2]):
-            group = list(group)
-            good = [r for r in group if r[2] is not None and r[3] is not None]
-            faulty = [r for r in group if r[2] is None or r[3] is None]
-            if linked:
-                late = lambda r: r[5] is not None and (r[6] is None or r[6] > r[3])
-                faulty += [r for r in good if late(r)]
-                good = [r for r in good if not late(r)]
-            nodes, edges = reply_graph([r[3] for r in good], [r[2] for r in good], [r[5] for r in good] if linked else None, [r[4] for r in good] if linked else None)
-            order = [i for i in topological_order(nodes, edges) if i < len(good)]
-            placed = set(order)
-            faulty += [r for i, r in enumerate(good) if i not in placed]  # on or after a cycle
-            turns = [good[i][2] if good[i][2] != "system" else None for i in order]
-            after, nexts = None, [None] * len(order)
-            for k in range(len(order) - 1, -1, -1):
-                nexts[k] = after
-                after = turns[k] or after
-            before = None
-            for k, i in enumerate(order):
-                _put(out, good[i], carry, linked, k, before, nexts[k], False)
-                before = turns[k] or before
-            for r in faulty:
-                _put(out, r, carry, linked, None, None, None, True)
-            if len(out["pos"]) > 20_000:
-                yield _batch(out)
-                for v in out.values():
-                    v.clear()
-        yield _batch(out)
+        part = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        facts, kept = [], {n: [] for n in ("conversation_id", "slice", "whole", "pos", "role", "at", "content")}
+
+        def close(rows: list[tuple], conversation: str, number: int, whole: bool) -> None:
+            s = _Slice(rows, linked)
+            reason = s.reason() if whole else None
+            facts.append({"conversation_id": conversation, "slice": part + number, "whole": whole, "reason": reason} | {f: getattr(s, f) for f in _FACTS})
+            if content and not reason:
+                n = len(s.order)
+                for name, values in zip(kept, ([conversation] * n, [part + number] * n, [whole] * n, range(n), (r[2] for r in s.order), (r[1] for r in s.order), (r[6] for r in s.order))):
+                    kept[name].extend(values)
+
+        def made() -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_pylist(facts, _ROW)
+            n = len(kept["pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(kept[f.name], f.type) if f.name in kept else pa.nulls(n, f.type) for f in _ROW], schema=_ROW)
+            facts.clear()
+            for values in kept.values():
+                values.clear()
+
+        conversation, held, number, first, before, unseen = None, [], 0, True, None, True
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if unseen or row[0] != conversation:
+                    if not unseen:
+                        close(held, conversation, number, not first and not number)
+                        first = False
+                    conversation, held, number, before, unseen = row[0], [], 0, None, False
+                if row[5] is None or before is not None and row[1:6] == before[1:6]:  # blank, or a copy
+                    continue
+                if len(held) >= slice_rows and not (linked and row[1] == before[1]):
+                    close(held, conversation, number, False)
+                    held, number = [], number + 1
+                before = row
+                held.append(row)
+            if len(facts) + len(kept["pos"]) > 20_000:
+                yield from made()
+        if not unseen:
+            close(held, conversation, number, False)  # may go on in the next partition
+        yield from made()
 
     return run
 
 
-def _put(out, row, carry, linked, pos, before, after, fault) -> None:
-    for n, v in zip(["conversation_id", "slice", "role", "at"], row):
-        out[n].append(v)
-    for n, v in zip(carry, row[7 if linked else 4 :]):
-        out[n].append(v)
-    for n, v in (("pos", pos), ("prev_turn", before), ("next_turn", after), ("fault", fault)):
-        out[n].append(v)
-
+def ordered_slices(messages: DataFrame, content: bool = True, reply_to: str | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Slices with their facts and, given ``content``, rows with their place ``pos`` in the slice, by one shuffle.
 
-def _batch(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = {"slice": pa.int32(), "at": pa.int64(), "pos": pa.int32(), "fault": pa.bool_()}
-    return pa.RecordBatch.from_pydict({n: pa.array(v, kinds.get(n, pa.string())) for n, v in out.items()})
-
-
-def ordered_messages(messages: DataFrame, content: bool = True, reply_to: str | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Each counted row with its place ``pos`` in its slice, the roles of the turns before and after it there, and ``fault``.
-
-    ``fault`` marks rows without time or readable role, on a cycle of replies, or (given ``reply_to``) answering a row that
-    doesn't exist or came later.
+    Rows are in order over all partitions, equal ones beside each other, so copies are left out as rows stream by. Slice
+    numbers ascend within a conversation. With ``reply_to`` rows of one time stay together, as only these can form a cycle.
     """
-    rows = _sliced(message_rows(messages, reply_to), slice_rows)
-    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    carry = ["content"] if content else []
-    cols = ["conversation_id", "slice", "role", micros("created_at").alias("at")]
-    if reply_to:
-        cols += ["id", "parent", micros("parent_at").alias("parent_at")]
-    rows = rows.select(*cols, *carry).repartition("conversation_id", "slice").sortWithinPartitions("conversation_id", "slice", *carry)
-    fields = ["conversation_id string", "slice int", "role string", "at bigint", *(f"{c} string" for c in carry), "pos int", "prev_turn string", "next_turn string", "fault boolean"]
-    return rows.mapInArrow(_order_slices(bool(reply_to), carry), ", ".join(fields))
+    rows = message_rows(messages, content, reply_to)
+    by = [F.col("conversation_id"), F.col("at")]
+    within = [*by, F.col("rank"), F.col("raw"), F.col("sign"), *([F.col("id").asc_nulls_last()] if reply_to else [])]
+    columns = ["conversation_id", "at", "role", "rank", "raw", "sign", *(["content"] if content else []), *(["id", "parent", "parent_at"] if reply_to else [])]
+    spread = rows.select(*columns).repartitionByRange(*(by if reply_to else within[:5])).sortWithinPartitions(*within)
+    return spread.mapInArrow(_order(content, bool(reply_to), slice_rows), _DDL)
 
 
-def conversation_faults(ordered: DataFrame) -> DataFrame:
-    """(conversation_id, turns, reason): reason is null for whole conversations, else the first that holds.
+def _judged(slices: DataFrame) -> DataFrame:
+    """(conversation_id, slice, reason, offset) of the slices of conversations that are cut: few, a row per cut.
 
     ``empty``: nothing but system rows. ``broken``: a faulty row, or an assistant turn that doesn't directly follow a user
     turn. ``missing_reply``: a user turn that isn't directly followed by an assistant turn.
     """
-    role, first, last = F.col("role"), F.col("prev_turn").isNull(), F.col("next_turn").isNull()
-    turn = ~F.col("fault") & (role != "system")
-    slices = ordered.groupBy("conversation_id", "slice").agg(
-        F.bool_and(F.coalesce(role == "system", F.lit(False))).alias("bare"),
-        F.bool_or("fault").alias("fault"),
-        F.count_if(turn).alias("turns"),
-        F.bool_or(turn & (role == "assistant") & ~first & (F.col("prev_turn") != "user")).alias("twice"),
-        F.bool_or(turn & (role == "user") & ~last & (F.col("next_turn") != "assistant")).alias("unanswered"),
-        F.min_by("role", F.when(turn, F.col("pos"))).alias("opens"),
-        F.max_by("role", F.when(turn, F.col("pos"))).alias("ends"),
-    )
-    w = Window.partitionBy("conversation_id").orderBy("slice")  # as many rows as a conversation has slices
-    full = F.when(F.col("turns") > 0, F.col("ends"))
-    joined = slices.withColumn("before", F.last(full, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    late = F.when(F.col("turns") > 0, F.col("opens"))
-    joined = joined.withColumn("after", F.first(late, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
-    has = F.col("turns") > 0
-    whole = joined.groupBy("conversation_id").agg(
-        F.bool_and("bare").alias("bare"),
-        F.bool_or(F.col("fault") | F.coalesce("twice", F.lit(False)) | (has & (F.col("opens") == "assistant") & ~F.coalesce(F.col("before") == "user", F.lit(False)))).alias("broken"),
-        F.bool_or(F.coalesce("unanswered", F.lit(False)) | (has & (F.col("ends") == "user") & ~F.coalesce(F.col("after") == "assistant", F.lit(False)))).alias("missing"),
-        F.sum("turns").alias("turns"),
-    )
-    reason = F.when(F.col("bare"), "empty").when(F.col("broken"), "broken").when(F.col("missing"), "missing_reply")
-    return whole.select("conversation_id", "turns", reason.alias("reason"))
-
-
-def all_blank(messages: DataFrame) -> DataFrame:
-    """Conversations of which no row remains once rows with blank content are left out: (conversation_id)."""
-    kept = messages.select(key("conversation_id").alias("conversation_id"), is_blank(F.col("content")).alias("blank")).dropna()
-    return kept.groupBy("conversation_id").agg(F.bool_and("blank").alias("blank")).where("blank").select("conversation_id")
+    w = Window.partitionBy("conversation_id").orderBy("slice")
+    all_of = Window.partitionBy("conversation_id")
+    before = F.last("ends", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("opens", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    met = slices.withColumn("before", before).withColumn("after", after)
+    broken = F.col("fault") | F.col("twice") | F.coalesce((F.col("opens") == "assistant") & ~F.coalesce(F.col("before") == "user", F.lit(False)), F.lit(False))
+    missing = F.col("unanswered") | F.coalesce((F.col("ends") == "user") & ~F.coalesce(F.col("after") == "assistant", F.lit(False)), F.lit(False))
+    reason = F.when(F.min("bare").over(all_of), "empty").when(F.max(broken).over(all_of), "broken").when(F.max(missing).over(all_of), "missing_reply")
+    offset = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return met.select("conversation_id", "slice", reason.alias("reason"), offset.alias("offset"))
 
 
 def dropped_conversations(messages: DataFrame, reply_to: str | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """(conversation_id, reason): one row per dropped conversation; empty tables give no rows."""
-    bad = conversation_faults(ordered_messages(messages, False, reply_to, slice_rows)).where("reason is not null").select("conversation_id", "reason")
-    return bad.unionByName(all_blank(messages).withColumn("reason", F.lit("empty")))
+    """(conversation_id, reason): one row per dropped conversation; empty tables give no rows.
+
+    Rows without conversation id or with blank content are left out (a conversation of which nothing remains is ``empty``);
+    rows that agree in conversation, role, content and time count once. Other columns play no part. Given ``reply_to``, the
+    column that names the row answered, an answer to nothing, to a later row or on a cycle is broken too.
+    """
+    slices = write_shared(ordered_slices(messages, False, reply_to, slice_rows), "slices")
+    cut = _judged(slices.where("not whole")).select("conversation_id", "reason").distinct()
+    return slices.where("whole").select("conversation_id", "reason").unionByName(cut).where("reason is not null")
 
 
 def rebuilt_conversations(messages: DataFrame, reply_to: str | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """(conversation_id, position, role, content, created_at): the rows of whole conversations in order, from 1 on."""
-    ordered = ordered_messages(messages, True, reply_to, slice_rows)
-    faults = conversation_faults(ordered_messages(messages, False, reply_to, slice_rows))
-    good = faults.where("reason is null").select("conversation_id")
-    sizes = ordered_messages(messages, False, reply_to, slice_rows).groupBy("conversation_id", "slice").agg(F.count("*").alias("rows"))
-    w = Window.partitionBy("conversation_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("offset", F.coalesce(F.sum("rows").over(w), F.lit(0))).drop("rows").join(good, "conversation_id", "left_semi")
-    placed = salted_join(ordered, sizes, ["conversation_id", "slice"], "inner", F.col("pos"))
-    return placed.select("conversation_id", (F.col("offset") + F.col("pos") + 1).alias("position"), "role", "content", F.timestamp_micros("at").cast("timestamp_ntz").alias("created_at"))
+    """(conversation_id, position, role, content, created_at): the rows of whole conversations in order, from 1 on.
+
+    What is dropped is what ``dropped_conversations`` gives. The rows are ordered once and written; those of cut
+    conversations, two a task and what has more than ``slice_rows`` rows, are joined to the places of the slices before.
+    """
+    made = write_shared(ordered_slices(messages, True, reply_to, slice_rows), "turns")
+    cut = _judged(made.where("pos is null and not whole")).where("reason is null").select("conversation_id", "slice", "offset")
+    rows = made.where("pos is not null")
+    of_cut = rows.where("not whole").join(cut, ["conversation_id", "slice"])
+    both = rows.where("whole").withColumn("offset", F.lit(0).cast("bigint")).unionByName(of_cut)
+    return both.select("conversation_id", (F.col("offset") + F.col("pos") + 1).alias("position"), "role", "content", F.timestamp_micros("at").cast("timestamp_ntz").alias("created_at"))
+
+
+def reply_cycles(messages: DataFrame, reply_to: str) -> DataFrame:
+    """(conversation_id, left_over): how many rows of a conversation are on a cycle of replies or answer one, as Kahn's algorithm leaves them over."""
+    slices = ordered_slices(messages, False, reply_to)
+    return slices.groupBy("conversation_id").agg(F.sum("left_over").alias("left_over")).where("left_over > 0")

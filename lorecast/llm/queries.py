@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
+from lorecast.functions.keys import is_blank, key
 from lorecast.llm import boilerplate, canonical, conversations, mixing, pairs, pii, tokens
 from lorecast.session import table
 
@@ -41,6 +44,16 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuilt_conversations(table(spark, d, "messages"))
 
 
+def p4_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Reasons where rows name what they answer: the row before them, or, for one in 32, the row after, which makes cycles and early answers."""
+    m = table(spark, d, "messages")
+    known = m.where(F.col("created_at").isNotNull() & ~is_blank(F.col("content"))).select(key("id").alias("_id"), key("conversation_id").alias("c"), "created_at").dropna().distinct()
+    w = Window.partitionBy("c").orderBy("created_at", "_id")
+    turned = F.substring(F.md5("_id"), 1, 2) < "08"
+    links = known.select("_id", F.coalesce(F.when(turned, F.lead("_id").over(w)), F.lag("_id").over(w)).alias("reply"))
+    return conversations.dropped_conversations(m.withColumn("_id", key("id")).join(links, "_id", "left"), "reply")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"), ["doc_id"], "text")
 
@@ -84,7 +97,7 @@ _CONVERSATIONS = f"""
 WITH raw AS (SELECT nullif(lower(regexp_replace(conversation_id, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), '') AS c, role, regexp_replace(lower(role), '[\\s[:punct:]：\\x{{A0}}\\x{{200B}}\\x{{FEFF}}]+', '', 'g') AS r, content, created_at FROM messages),
 named AS (SELECT c, content, created_at, {_ROLE} AS role, lower(trim(role)) AS spelt FROM raw WHERE c IS NOT NULL),
 kept AS (SELECT DISTINCT c, content, created_at, role, CASE WHEN role IS NULL THEN spelt END AS spelt FROM named WHERE NOT regexp_full_match(coalesce(content, ''), '{_BLANKS}*')),
-turns AS (SELECT c, role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM kept WHERE role <> 'system' AND created_at IS NOT NULL WINDOW w AS (PARTITION BY c ORDER BY created_at, role = 'assistant', content)),
+turns AS (SELECT c, role, lag(role) OVER w AS before, lead(role) OVER w AS after FROM kept WHERE role <> 'system' AND created_at IS NOT NULL WINDOW w AS (PARTITION BY c ORDER BY created_at, role = 'assistant', md5(content))),
 facts AS (SELECT c, bool_and(coalesce(role = 'system', false)) AS bare, bool_or(role IS NULL OR created_at IS NULL) AS fault FROM kept GROUP BY c),
 orders AS (SELECT c, bool_or(role = 'assistant' AND before IS DISTINCT FROM 'user') AS twice, bool_or(role = 'user' AND after IS DISTINCT FROM 'assistant') AS missing FROM turns GROUP BY c),
 reasons AS (SELECT a.c, CASE WHEN f.c IS NULL OR f.bare THEN 'empty' WHEN f.fault OR o.twice THEN 'broken' WHEN o.missing THEN 'missing_reply' END AS reason
@@ -93,8 +106,13 @@ reasons AS (SELECT a.c, CASE WHEN f.c IS NULL OR f.bare THEN 'empty' WHEN f.faul
 _P4 = {
     "p4_found": _CONVERSATIONS + "SELECT c AS conversation_id, reason FROM reasons WHERE reason IS NOT NULL",
     "p4_conversations": _CONVERSATIONS
-    + """SELECT c AS conversation_id, row_number() OVER (PARTITION BY c ORDER BY created_at, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, content) AS position, role, content, created_at
+    + """SELECT c AS conversation_id, row_number() OVER (PARTITION BY c ORDER BY created_at, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, md5(content)) AS position, role, content, created_at
     FROM kept WHERE c IN (SELECT c FROM reasons WHERE reason IS NULL)""",
+    "p4_threads": _CONVERSATIONS
+    + f""", k AS (SELECT DISTINCT lower(trim(m.id)) AS id, nullif(lower(regexp_replace(conversation_id, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), '') AS c, created_at, content, role FROM messages m WHERE created_at IS NOT NULL AND id IS NOT NULL AND NOT regexp_full_match(coalesce(content, ''), '{_BLANKS}*')),
+    t AS (SELECT *, md5(id)[1:2] < '08' AND lead(id) OVER (PARTITION BY c ORDER BY created_at, id) IS NOT NULL AS turned, row_number() OVER (PARTITION BY c, created_at, content, role ORDER BY id) AS copy FROM k WHERE c IS NOT NULL),
+    early AS (SELECT c, bool_or(turned) AS early FROM t WHERE copy = 1 GROUP BY 1)
+    SELECT c AS conversation_id, CASE WHEN early AND coalesce(reason, '') <> 'empty' THEN 'broken' ELSE reason END AS reason FROM reasons LEFT JOIN early USING (c) WHERE reason IS NOT NULL OR early""",
 }
 
-QUERIES = {"p7_mix": (p7_mix, None), "p7_shares": (p7_shares, None), "p2_found": (p2_found, None), "p5_found": (p5_found, None), "p5_main": (p5_main, None), "p8_found": (p8_found, None), "p8_redacted": (p8_redacted, None), "p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, _P4["p4_found"]), "p4_conversations": (p4_conversations, _P4["p4_conversations"]), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
+QUERIES = {"p7_mix": (p7_mix, None), "p7_shares": (p7_shares, None), "p2_found": (p2_found, None), "p5_found": (p5_found, None), "p5_main": (p5_main, None), "p8_found": (p8_found, None), "p8_redacted": (p8_redacted, None), "p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, _P4["p4_found"]), "p4_conversations": (p4_conversations, _P4["p4_conversations"]), "p4_threads": (p4_threads, _P4["p4_threads"]), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}

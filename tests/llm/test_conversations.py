@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from lorecast.llm.conversations import dropped_conversations, rebuilt_conversations, topological_order
+from lorecast.llm.conversations import dropped_conversations, rebuilt_conversations, reply_cycles, topological_order
 
 DDL = "id string, conversation_id string, role string, content string, created_at timestamp_ntz, slice int, reply string"
 
@@ -31,6 +31,7 @@ CASES = [
     ("open", [("user", "a", 1), ("ai", "b", 2), ("user", "c", 3)], "missing_reply"),
     ("unanswered", [("user", "a", 1), ("user", "b", 2), ("ai", "c", 3)], "missing_reply"),
     ("ties", [("ai", "b", 1), ("user", "a", 1)], None),
+    ("untimed", [("system", "s", None)], "empty"),
 ]
 
 
@@ -66,19 +67,21 @@ def test_empty_table(spark):
 
 
 def test_given_replies(spark):
-    row = lambda i, c, r, s, p: (i, c, r, i, at(s), 0, p)
+    row = lambda i, c, r, s, p: (i, c, r, i[0], at(s), 0, p)
     df = spark.createDataFrame(
         [
             row("1", "good", "user", 1, None), row("2", "good", "ai", 2, "1"),
             row("3", "cycle", "user", 1, "4"), row("4", "cycle", "ai", 1, "3"),
             row("5", "lost", "user", 1, None), row("6", "lost", "ai", 2, "99"),
             row("7", "early", "user", 5, None), row("8", "early", "ai", 2, "7"),
+            row("9", "copies", "user", 1, None), row("90", "copies", "user", 1, None), row("91", "copies", "ai", 2, "90"),
         ],
         DDL,
     )
     for n in (1, 10**6):
         got = {r.conversation_id: r.reason for r in dropped_conversations(df, "reply", n).collect()}
         assert got == {"cycle": "broken", "lost": "broken", "early": "broken"}
+    assert [tuple(r) for r in reply_cycles(df, "reply").collect()] == [("cycle", 2)]
 
 
 def test_kahn_leaves_cycles_over():
