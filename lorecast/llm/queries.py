@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lorecast.functions.keys import is_blank, key
+from lorecast.functions.roles import readable_role
 from lorecast.llm import boilerplate, canonical, conversations, mixing, pairs, pii, tokens
 from lorecast.session import table
 
@@ -47,8 +48,8 @@ def p4_conversations(spark: SparkSession, d: str) -> DataFrame:
 def p4_threads(spark: SparkSession, d: str) -> DataFrame:
     """Reasons where rows name what they answer: the row before them, or, for one in 32, the row after, which makes cycles and early answers."""
     m = table(spark, d, "messages")
-    known = m.where(F.col("created_at").isNotNull() & ~is_blank(F.col("content"))).select(key("id").alias("_id"), key("conversation_id").alias("c"), "created_at").dropna().distinct()
-    w = Window.partitionBy("c").orderBy("created_at", "_id")
+    known = m.where(F.col("created_at").isNotNull() & ~is_blank(F.col("content"))).select(key("id").alias("_id"), key("conversation_id").alias("c"), "created_at", F.coalesce(readable_role(F.col("role")) == "assistant", F.lit(False)).alias("answers")).dropna().distinct()
+    w = Window.partitionBy("c").orderBy("created_at", "answers", "_id")
     turned = F.substring(F.md5("_id"), 1, 2) < "08"
     links = known.select("_id", F.coalesce(F.when(turned, F.lead("_id").over(w)), F.lag("_id").over(w)).alias("reply"))
     return conversations.dropped_conversations(m.withColumn("_id", key("id")).join(links, "_id", "left"), "reply")
@@ -109,8 +110,8 @@ _P4 = {
     + """SELECT c AS conversation_id, row_number() OVER (PARTITION BY c ORDER BY created_at, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, md5(content)) AS position, role, content, created_at
     FROM kept WHERE c IN (SELECT c FROM reasons WHERE reason IS NULL)""",
     "p4_threads": _CONVERSATIONS
-    + f""", k AS (SELECT DISTINCT lower(trim(m.id)) AS id, nullif(lower(regexp_replace(conversation_id, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), '') AS c, created_at, content, role FROM messages m WHERE created_at IS NOT NULL AND id IS NOT NULL AND NOT regexp_full_match(coalesce(content, ''), '{_BLANKS}*')),
-    t AS (SELECT *, md5(id)[1:2] < '08' AND lead(id) OVER (PARTITION BY c ORDER BY created_at, id) IS NOT NULL AS turned, row_number() OVER (PARTITION BY c, created_at, content, role ORDER BY id) AS copy FROM k WHERE c IS NOT NULL),
+    + f""", k AS (SELECT DISTINCT lower(trim(m.id)) AS id, nullif(lower(regexp_replace(conversation_id, '^{_BLANKS}+|{_BLANKS}+$', '', 'g')), '') AS c, created_at, content, role, coalesce(regexp_replace(lower(role), '[\\s[:punct:]：\\x{{A0}}\\x{{200B}}\\x{{FEFF}}]+', '', 'g') IN ({", ".join(repr(x) for x in conversations.ROLES["assistant"])}), false) AS answers FROM messages m WHERE created_at IS NOT NULL AND id IS NOT NULL AND NOT regexp_full_match(coalesce(content, ''), '{_BLANKS}*')),
+    t AS (SELECT *, md5(id)[1:2] < '08' AND lead(id) OVER (PARTITION BY c ORDER BY created_at, answers, id) IS NOT NULL AS turned, row_number() OVER (PARTITION BY c, created_at, content, role ORDER BY id) AS copy FROM k WHERE c IS NOT NULL),
     early AS (SELECT c, bool_or(turned) AS early FROM t WHERE copy = 1 GROUP BY 1)
     SELECT c AS conversation_id, CASE WHEN early AND coalesce(reason, '') <> 'empty' THEN 'broken' ELSE reason END AS reason FROM reasons LEFT JOIN early USING (c) WHERE reason IS NOT NULL OR early""",
 }
