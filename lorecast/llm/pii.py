@@ -1,14 +1,17 @@
 """Personal information in free text: generators propose spans, boosted trees judge them, calibrated thresholds select.
 
-The trees are fitted on candidates of a bounded sample of documents, labelled by cues so plain that they need no judgement;
-candidates without such a cue are left to the trees. Every document is searched whole.
+The trees see the format of a span, whether its parts are known names, and how its context speaks for or against it; what
+contexts say is learned as well. They are fitted on candidates of a bounded sample of documents that are labelled by evidence
+they do not see: check digits, titles, sign-offs, schemes and keys, words also written in lower case, numbers that recur in
+other documents, dates, versions and code. Candidates without evidence teach nothing. Every document is searched whole.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,11 +22,16 @@ from pyspark.sql import types as T
 
 from lorecast.llm.boosting import Boosted
 from lorecast.llm.canonical import Canonicalizer, canonicalizer
+from lorecast.llm.sampling import sampled
 
 TYPES = ("email", "phone", "id_number", "address", "person")
 EMAIL, PHONE, ID, ADDRESS, PERSON = range(5)
-#: The trees are fitted on at most so many documents.
-SAMPLE_DOCS = 4_000
+#: The trees are fitted on at most so many documents of at most so many signs.
+SAMPLE_DOCS, SAMPLE_SIGNS = 4_000, 50_000
+#: A number found in so many documents of the sample is nobody's.
+RECURS = 3
+#: Rounds in which contexts label what bears no evidence, and the log odds they need for it.
+ROUNDS, SURE = 4, 3.0
 
 _CAP = r"[A-ZÀ-ÖØ-ÞŁŠŽ]"
 _LETTER = r"[A-Za-zÀ-ÖØ-öø-ɏ]"
@@ -64,7 +72,7 @@ FIND_ADDRESS_DE = re.compile(
 )
 FIND_ADDRESS_ZH = re.compile(r"([一-鿿]{2,24}(?:路|街|道|巷|弄|里|胡同)(?:[一二三四五六七八九十东南西北中]段)?) ?\d{1,5} ?号(?:楼)?(?: ?\d+ ?(?:栋|幢|座|号楼|弄))?(?: ?\d+ ?单元)?(?: ?\d+ ?(?:室|房|层|楼))*(?:[, ]{0,2}\d{6}(?!\d))?")
 _BEFORE_ZH = re.compile(r".*(?:住在|住址|寄到|寄往|寄至|送到|搬到|位于|地址|住|在|到|于|往)")
-_AT_SIGNS = ("@", "(at", "[at", "{at", "<at", "( at", "[ at", "(AT", "[AT", "(ät", " dot ", " DOT ", "arobase")
+_MAY_BE_EMAIL = re.compile(r"@|[(\[{<] ?(?:at|ät|arobase) ?[)\]}>]|[(\[{<] ?(?:dot|punkt|point) ?[)\]}>]|dot ", re.I)
 _TITLES = ("Dr", "Prof", "Mr", "Mrs", "Ms", "Miss", "Mx", "Herr", "Herrn", "Frau", "Mme", "Mlle", "Madame", "Monsieur", "M")
 _TITLE_SIGNS = ("Dr", "Prof", "Mr", "Ms", "Miss", "Mx", "Herr", "Frau", "Mme", "Mlle", "Madame", "Monsieur", "M. ", "Sir ", "Dame ", "Doktor", "Docteur")
 _NAME_PART = re.compile(rf"{_NAME}|{_INITIAL}")
@@ -77,19 +85,10 @@ FIND_PERSON_ZH = re.compile(
     r"([一-鿿·]{2,4}?)(?=[,。、()|;\"”]| ?\||老师|先生|女士|同学|教授|博士|和|的(?:审校|帮助|支持|补丁|建议)|身份证|邮箱|电话|手机|$|\n| )"
 )
 
-# Words before or after a span that tell what it is.
-_CUES = {
-    "phone": r"tel\b|tel[.:=]|phone|\bcall\b|mobile|\bcell\b|\bfax|\btext\b|\bdial|number changed to|my number|telefon|handy|rufnummer|mobil|erreichbar|anruf|téléphone|appelez|portable|mon numéro|电话|手机|拨打|致电|热线|whatsapp",
-    "id": r"identity|\bid\b|\bssn\b|social security|national insurance|passport|\btax\b|taxpayer|steuer|identifikation|kennung|ausweis|sozialversicherung|sécurité sociale|sécu\b|dossier|fiscal|identité|身份证|证件|社保|税号|纳税|insee",
-    "other": r"order|ticket|\bitem\b|invoice|isbn|\bbuild\b|version|\bport\b|\brun\b|\bpi\b|prime|checksum|auftrag|bestell|ausgabe|\blauf\b|rechnung|commande|facture|le numéro|订单|单号|任务|版本|端口|编号 |row|limit|max_|commit|issue|release",
-    "person": r"thanks to|author ?:|autor ?:|auteur ?:|questions go to|reviewer on file:|reviewed by|written by|contact|\bask\b|name[\"']? ?[:= ] ?[\"']?|fragen bitte an|korrekturen gehen an|copies to|merci à|écrivez à|corrections vont à|au nom de|et à|, name |我叫|联系|收件人|作者|学员|感谢|signed|gruß|regards|cordialement|translator|editor|lecteur|prüfer",
-}
-_LEFT = {k: re.compile(v, re.I) for k, v in _CUES.items()}
 _TITLED = re.compile(rf"(?:^|[\s(\[\"“|/])({_TITLE})\.? $")
-_RIGHT_PERSON = re.compile(r"^(?:,? ?(?:rewrote|wrote|reviewed|hat dieses|hat |a réécrit|a relu|老师|先生|女士|同学|教授|博士|的审校|,? ?身份证|,? ?邮箱| ?\(| ?<|,? and (?=[A-ZÀ-Þ])| for the patches| unter | at \S+@|,? ID |和| halfen| \| \S+@| \| [+(\d]|\" ?,| : \S+@))")
-_RIGHT_THING = re.compile(r"^ (?:ships|replaced|replaces|ersetzt|remplace|取代|runs|version|release|wird mit|est livré|随)|^ ?取代")
-_LEFT_THING = re.compile(r"(?:replaced|replaces|ersetzt|remplace|取代了?|install|use) $", re.I)
-_RIGHT_OTHER = re.compile(r"^ ?(?:is a large prime|est premier|rows|bytes|ms|px|%|已关闭|号条目|ist geschlossen|was closed|is out of print|est close)")
+_M_TITLE = re.compile(r"(?:^|[^\w])(?:et|à|par|de|chez|avec) M\.? $")  # elsewhere the letter may be an initial
+_TITLE_AFTER = re.compile("老师|先生|女士|同学|教授|博士")
+_KEYED = re.compile(r"(?:tel|phone|telefon|téléphone|mobile|电话|手机号?|whatsapp)[\"']?\s?[.:=]+\s?[\"']?$|tel:$", re.I)
 _SHAPES = {
     "ssn": r"\d{3}([ -])\d{2}\1\d{4}|\d{9}", "nino": r"[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]", "tin": r"\d{2} \d{3} \d{3} \d{3}|\d{11}",
     "nir": r"[12378] ?\d{2} ?\d{2} ?\d[\dAB] ?\d{3} ?\d{3}(?: ?\d{2})?", "cnid": r"\d{6}(?:18|19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]",
@@ -100,7 +99,7 @@ _VERSION = re.compile(r"\d{1,4}(?:\.\d{1,4}){2,3}|\d\.\d{5,}")
 _PHONES = [re.compile(p) for p in (
     r"(?:\+?1[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}", r"\+\d{1,3}[ \d().\-/]{7,}", r"00\d{2}[ \d().\-/]{7,}", r"\(?0\d{2,5}\)?[ /\-.]?[\d ]{5,10}(?:-\d+)?", r"0\d(?:[ .\-]?\d{2}){4}", r"1[2-9]\d[ -]?\d{4}[ -]?\d{4}", r"[2-9]\d{9}",
 )]
-FEATURES = 36
+FEATURES = 28
 
 
 def folded(text: str, canon: Canonicalizer | None = None) -> tuple[str, list[int] | None, list[int] | None]:
@@ -137,7 +136,7 @@ def folded(text: str, canon: Canonicalizer | None = None) -> tuple[str, list[int
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """Spans (type, start, end) that may be personal information; they overlap and most are not."""
     found: list[tuple[int, int, int]] = []
-    if any(sign in text for sign in _AT_SIGNS):
+    if _MAY_BE_EMAIL.search(text):
         found += [(EMAIL, *m.span()) for m in FIND_EMAIL.finditer(text)]
     for run in FIND_DIGITS.finditer(text):
         _numeric(text, run.start(), found)
@@ -199,96 +198,167 @@ def _numeric(text: str, at: int, found: list[tuple[int, int, int]]) -> None:
                 found.append((ADDRESS, *m.span()))
 
 
-def features(text: str, found: list[tuple[int, int, int]], names: frozenset, words: frozenset) -> np.ndarray:
-    """Format and context of each candidate; ``names`` and ``words`` are what the sample taught."""
+_CONTEXT = re.compile(r"[一-鿿]|[^\W\d_]+|\d+|[^\w\s]|\n")
+
+
+def _masked(words: list[str]) -> str:
+    """``words`` with capitalized ones all alike."""
+    return " ".join("0" if w.isdigit() else "X" if w[0].isupper() else w for w in words)
+
+
+def context_words(text: str, s: int, e: int) -> list[str]:
+    """What stands around a span, as words with their place: three before it, two after it, and both sides with names alike."""
+    before = ["^", "^", "^", *_CONTEXT.findall(text[max(0, s - 40) : s])][-3:]
+    after = [*_CONTEXT.findall(text[e : e + 30]), "$", "$"][:2]
+    a, b, c = ("0" if w.isdigit() else w.lower() for w in before)
+    d, f = ("0" if w.isdigit() else w.lower() for w in after)
+    return ["1" + c, "2" + b + " " + c, "3" + a + " " + b + " " + c, "4" + b, "8" + _masked(before[1:]), "5" + d, "6" + d + " " + f, "9" + _masked(after), "7" + c + " " + d]
+
+
+class Contexts:
+    """How much each context word of a type of span speaks for it: log odds from labelled spans, seen in at least two documents."""
+
+    def __init__(self):
+        self.seen: dict[tuple, list] = defaultdict(lambda: [0, 0])
+        self.odds: dict[tuple, float] = {}
+
+    def add(self, kind: int, words: list[str], label: int) -> None:
+        for w in words:
+            self.seen[kind, w][label] += 1
+
+    def made(self) -> Contexts:
+        self.odds = {k: float(np.log((p + 0.5) / (n + 0.5))) for k, (n, p) in self.seen.items() if n + p >= 2}
+        self.seen = {}
+        return self
+
+    def score(self, kind: int, words: list[str]) -> tuple[float, float, float]:
+        """What the words before the span say, those after it, and both together."""
+        v = [self.odds.get((kind, w), 0.0) for w in words]
+        return sum(v[:5]), sum(v[5:8]), sum(v)
+
+
+class Lines:
+    """Where lines and code marks of a text are, found once."""
+
+    def __init__(self, text: str):
+        self.ends = [m.start() for m in re.finditer("\n", text)] + [len(text)]
+        self.marks = [m.start() for m in re.finditer("`", text)]
+
+    def of(self, s: int, e: int) -> tuple[int, int]:
+        """The beginning of the line of ``s`` and the end of that of ``e``."""
+        i = bisect_left(self.ends, s)
+        return self.ends[i - 1] + 1 if i else 0, self.ends[bisect_left(self.ends, e)]
+
+    def in_code(self, start: int, s: int) -> bool:
+        return (bisect_left(self.marks, s) - bisect_left(self.marks, start)) % 2 == 1
+
+
+def features(text: str, found: list[tuple[int, int, int]], names: frozenset, contexts: Contexts) -> np.ndarray:
+    """Format and context of each candidate; ``names`` and ``contexts`` are what the sample taught."""
     x = np.zeros((len(found), FEATURES), np.float32)
+    if not found:
+        return x
+    lines, mails = Lines(text), sorted(s for kind, s, _ in found if kind == EMAIL)
     for row, (kind, s, e) in zip(x, found):
         span = text[s:e]
-        line0 = text.rfind("\n", 0, s) + 1
-        line1 = text.find("\n", e)
-        line1 = len(text) if line1 < 0 else line1
-        left, right = text[max(line0, s - 44) : s], text[e : min(line1, e + 26)]
+        line0, line1 = lines.of(s, e)
         groups = re.findall(r"\d+", span)
         digits = sum(map(len, groups))
         row[0:8] = kind, e - s, digits, len(groups), max(map(len, groups), default=0), len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, digits / (e - s)
         row[8:11] = span[0] == "+", span[0] == "(", span[0] == "0"
         row[11] = sum(1 << i for i, c in enumerate(" -./") if c in span) if kind in (PHONE, ID) else 0
-        near = left[-30:]
-        for k, cue in enumerate(("phone", "id", "other", "person")):
-            at = -1
-            for m in _LEFT[cue].finditer(near):
-                at = m.end()
-            row[12 + k] = len(near) - at if at >= 0 else 99
-        row[16] = bool(_TITLED.search(text[max(0, s - 12) : s]))
-        row[17] = bool(_RIGHT_PERSON.match(right)) if kind == PERSON else 0
-        row[18] = bool(_RIGHT_THING.match(right) or _LEFT_THING.search(left)) if kind == PERSON else 0
-        row[19] = bool(_RIGHT_OTHER.match(right))
-        row[20] = s > 0 and text[s - 1] in "=_#$"
-        row[21] = not left.strip("-*# |") and line0 >= s - 44
-        row[22] = row[21] and not right.strip(" .,|")
-        above = text[max(0, line0 - 8) : line0].rstrip("\n ")
-        row[23] = above.endswith("--")
-        line = text[line0 : min(line1, line0 + 400)]
-        row[24] = "@" in line or "at" in line and bool(re.search(r"[(\[]at[)\]]", line))
-        row[25] = line.startswith("|") or line.startswith("{")
+        row[12:15] = contexts.score(kind, context_words(text, s, e))
+        row[15] = line0 >= s - 4 and not text[line0:s].strip("-*# |")
+        row[16] = row[15] and line1 <= e + 4 and not text[e:line1].strip(" .,|")
+        row[17] = text[line0 : line0 + 1] in ("|", "{")
+        near = bisect_left(mails, s - 120)
+        row[18] = near < len(mails) and mails[near] < e + 120
         if kind in (PHONE, ID):
-            row[26] = next((i + 1 for i, p in enumerate(_ID_SHAPES) if p.fullmatch(span)), 0)
-            row[27] = next((i + 1 for i, p in enumerate(_PHONES) if p.fullmatch(span)), 0)
-            row[28] = bool(_DATED.match(span)) * 2 + bool(_VERSION.fullmatch(span) and row[27] != 1)
+            row[19] = next((i + 1 for i, p in enumerate(_ID_SHAPES) if p.fullmatch(span)), 0)
+            row[20] = next((i + 1 for i, p in enumerate(_PHONES) if p.fullmatch(span)), 0)
+            row[21] = s > 0 and text[s - 1] in "=_#$"
         elif kind == PERSON:
             parts = re.findall(r"[^\W\d_][\w’'\-]*\.?", span)
             full = [p for p in parts if not p.endswith(".")]
-            row[26] = len(parts)
-            row[27] = len(parts) - len(full)
-            row[28] = span.isupper()
-            row[29] = ", " in span
-            row[30] = sum(p.lower() in names for p in full) / max(1, len(full))
-            row[31] = sum(p.lower() in words for p in full) / max(1, len(full))
-            row[32] = "一" <= span[0] <= "鿿"
-            row[33] = left.endswith("à ") and span.startswith("M. ") or left.endswith("à M. ") and 2
+            row[19:23] = len(parts), len(parts) - len(full), span.isupper(), ", " in span
+            row[23] = sum(p.lower() in names for p in full) / max(1, len(full))
+            row[24] = "一" <= span[0] <= "鿿"
+            row[25] = text[max(0, s - 3) : s] == "M. " or span.startswith("M. ") and 2
         elif kind == ADDRESS:
-            row[26] = span.count(",")
-            row[27] = bool(re.search(r"\b\d{5}\b", span))
-            row[28] = "号" in span
-            row[29] = bool(re.match(r"(?:Weg|Platz|Gasse|Markt|Straße|Allee) \d+$", span))
-            row[30] = len(re.findall(r"[^\W\d_]{2,}", span))
+            row[19:22] = span.count(","), bool(re.search(r"\b\d{5}\b", span)), "号" in span
+            row[22] = len(re.findall(r"[^\W\d_]{2,}", span))
         else:
             tail = re.split(r"(?i)\.|dot|punkt|point", span)[-1].strip(" )]}>")
-            row[26] = tail.isalpha() and len(tail) >= 2
-            row[27] = "@" in span
-        row[34] = text.count("`", line0, s) % 2
-        row[35] = 0 < line1 < len(text) and text[line1 + 1 : line1 + 2].isdigit()
+            row[19:21] = tail.isalpha() and len(tail) >= 2, "@" in span
     return x
 
 
-def plain_label(kind: int, row: np.ndarray) -> int:
-    """1 or 0 where the cues leave no doubt, else -1. Rows are those of ``features``."""
-    phone, ident, other, person = row[12:16]
-    if kind == EMAIL:
-        return int(row[26] > 0)
-    if kind in (PHONE, ID):
-        if row[28] or row[19] or row[20] and phone > 3:
-            return 0
-        if other < min(phone, ident):
-            return 0
-        if kind == PHONE:
-            if ident < phone and ident < 24:
-                return 0
-            return 1 if row[27] and (phone < 24 or row[24] and (row[21] or row[25])) else 0 if not row[27] else -1
-        if phone < ident and phone < 24:
-            return 0
-        return 1 if row[26] and ident < 26 else 0 if not row[26] or row[27] else -1
-    if kind == ADDRESS:
-        return 0 if row[29] or row[28] and row[19] else 1
-    if row[18]:
-        return 0
-    if row[33] == 1:  # the letter is a title here, the span without it is the name
-        return 0
-    if row[16] or row[33] == 2 or person <= 4 or row[23] and row[22]:
-        return 1
-    if row[17] and row[31] < 1 or row[25] and row[21] and row[31] < 1:
-        return 1
-    return 0 if row[30] == 0 else -1
+def checked(digits: str) -> bool | None:
+    """Whether the check digits of a national number are right; None if it is of no kind that has any."""
+    if re.fullmatch(r"\d{17}[\dXx]", digits):  # Chinese identity numbers
+        weights = [2 ** (17 - i) % 11 for i in range(17)]
+        return "10X98765432"[sum(w * int(d) for w, d in zip(weights, digits)) % 11] == digits[17].upper()
+    if re.fullmatch(r"[12378]\d{4}(?:\d{2}|2[AB])\d{8}", digits):  # French social security numbers with key
+        number = int(digits[:13].replace("2A", "19").replace("2B", "18"))
+        return 97 - number % 97 == int(digits[13:])
+    if re.fullmatch(r"\d{11}", digits):  # German tax numbers
+        product = 10
+        for d in digits[:10]:
+            product = ((int(d) + product) % 10 or 10) * 2 % 11
+        return (11 - product) % 10 == int(digits[10])
+    return None
+
+
+def evidence(text: str, found: list[tuple[int, int, int]], words: frozenset, recurring: frozenset) -> list[int]:
+    """1 or 0 where something that the trees don't see tells what a candidate is, else -1."""
+    lines, out = Lines(text), []
+    for kind, s, e in found:
+        span = text[s:e]
+        line0, line1 = lines.of(s, e)
+        above = text[max(0, line0 - 5) : line0].strip()
+        signed = line0 >= s - 2 and (above == "--" or above.endswith("\n--"))
+        code, compact = lines.in_code(line0, s), _compact(span)
+        if kind == EMAIL:
+            tail = re.split(r"(?i)\.|dot|punkt|point", span)[-1].strip(" )]}>")
+            label = int(tail.isalpha() and len(tail) >= 2)
+        elif code or kind != PERSON and compact in recurring:
+            label = 0
+        elif kind in (PHONE, ID):
+            valid, national = checked(compact), bool(FIND_NINO.fullmatch(span)) or bool(re.fullmatch(r"\d{3}([ -])\d{2}\1\d{4}", span))
+            if _DATED.match(span) or _VERSION.fullmatch(span) and not re.fullmatch(_PHONES[0], span) or s and text[s - 1] in "_#$" or re.search(r"\w=$", text[max(0, s - 2) : s]) and not _KEYED.search(text[max(0, s - 14) : s]):
+                label = 0
+            elif kind == ID:
+                label = int(valid) if valid is not None else 1 if national else 0 if any(p.fullmatch(span) for p in _PHONES[1:5]) or _KEYED.search(text[max(0, s - 14) : s]) else -1
+            elif valid or national or not any(p.fullmatch(span) for p in _PHONES):
+                label = 0
+            else:
+                label = 1 if span[0] in "+(" or span.startswith("00") or _KEYED.search(text[max(0, s - 14) : s]) or signed else -1
+        elif kind == ADDRESS:
+            label = 1 if re.search(r"\b\d{5,6}\b|(?i:box|postfach|bp) \d|[A-Z]\d[A-Z\d]? ?\d[A-Z]{2}\b|\d ?(?:单元|室|栋|幢)|(?:Apt|Unit|Suite|Flat|#)\b", span) or signed else -1
+        else:
+            parts = [p.lower() for p in re.findall(r"[^\W\d_][\w’'\-]+", span)]
+            if text[max(0, s - 3) : s] != "M. " and span.startswith("M. ") and re.search(r"(?:et|à|par|de) $", text[max(0, s - 4) : s]):
+                label = 0  # the letter is a title here
+            else:
+                title = _TITLED.search(text[max(0, s - 12) : s])
+                label = 1 if title and (title[1] != "M" or _M_TITLE.search(text[max(0, s - 9) : s])) or _TITLE_AFTER.match(text, e) or signed else 0 if any(p in words for p in parts) or compact + "!" in recurring else -1
+        out.append(label)
+    return out
+
+
+def _compact(span: str) -> str:
+    return re.sub(r"[^\w+]", "", span)
+
+
+def _fixed(texts: list[str], spans: list[list[tuple[int, int, int]]], recurring: frozenset) -> frozenset:
+    """Recurring phrases that only look like names: their words never occur with others, or the phrase never between others."""
+    partners, between = defaultdict(set), defaultdict(set)
+    people = [(_compact(t[s:e]) + "!", re.findall(r"[^\W\d_][\w’'\-]+", t[s:e]), context_words(t, s, e)[-1]) for t, c in zip(texts, spans) for kind, s, e in c if kind == PERSON]
+    for phrase, parts, around in people:
+        between[phrase].add(around)
+        for p in parts:
+            partners[p].add(phrase)
+    return frozenset(phrase for phrase, parts, _ in people if phrase in recurring and (len(between[phrase]) == 1 if len(parts) == 1 else parts and all(len(partners[p]) == 1 for p in parts)))
 
 
 def _lowered(texts: list[str]) -> frozenset:
@@ -301,24 +371,30 @@ def _lowered(texts: list[str]) -> frozenset:
 
 
 class Judge:
-    """Names and words of the sample, trees, and a threshold per type: all that tasks need."""
+    """Names and contexts of the sample, trees, and a threshold per type: all that tasks need."""
 
     def __init__(self, texts: list[str], seed: int = 7):
         texts = [folded(t)[0] for t in texts if t]
-        self.words = _lowered(texts)
         spans = [candidates(t) for t in texts]
-        rows = [features(t, c, frozenset(), self.words) for t, c in zip(texts, spans)]
-        known: Counter = Counter()
-        for t, c, x in zip(texts, spans, rows):
-            for (kind, s, e), row in zip(c, x):
-                if kind == PERSON and plain_label(kind, row) == 1 and (row[16] or row[15] <= 4 or row[23]):
-                    known.update(p.lower() for p in re.findall(r"[^\W\d_][\w’'\-]+", t[s:e]))
-        self.names = frozenset(n for n, k in known.items() if n not in self.words)
-        rows = [features(t, c, self.names, self.words) for t, c in zip(texts, spans)]
+        words = _lowered(texts)
+        places = Counter(v for t, c in zip(texts, spans) for v in {_compact(t[s:e]) + "!" * (kind == PERSON) for kind, s, e in c})
+        recurring = frozenset(v for v, n in places.items() if n >= RECURS)
+        numbers = frozenset(v for v in recurring if v[-1] != "!")
+        nobody = numbers | _fixed(texts, spans, recurring)
+        labels = [evidence(t, c, words, nobody) for t, c in zip(texts, spans)]
+        part = np.random.default_rng(seed).integers(0, 4, len(texts))  # each part's contexts are judged by what the others teach
+        around = [[context_words(t, s, e) for _, s, e in c] for t, c in zip(texts, spans)]
+        for turn in range(ROUNDS):
+            self.names, contexts = self._taught(texts, spans, labels, around, part, words)
+            if turn + 1 < ROUNDS:
+                labels = [[self._more(t, c[i], v, contexts[of], w[i]) if v < 0 else v for i, v in enumerate(y)] for t, c, y, w, of in zip(texts, spans, labels, around, part)]
+        self.contexts = contexts[4]
+        rows = [features(t, c, self.names, contexts[of]) for t, c, of in zip(texts, spans, part)]
         x = np.concatenate([r for r in rows if len(r)] or [np.zeros((0, FEATURES), np.float32)])
-        doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        y = np.array([plain_label(int(r[0]), r) for r in x], int)
-        sure, held = y >= 0, np.random.default_rng(seed).random(len(rows))[doc] < 0.25 if len(x) else np.zeros(0, bool)
+        y = np.array([v for ys in labels for v in ys], int)
+        if len(y) and (y < 0).all():
+            raise ValueError("no candidate of the sample bears evidence from which trees could be fitted")
+        sure, held = y >= 0, (np.repeat(part, [len(r) for r in rows]) == 0) if len(texts) > 3 else np.zeros(len(y), bool)
         fit, test = sure & ~held, sure & held
         self.trees = Boosted().fit(x[fit], y[fit]).calibrate(x[test], y[test])
         p = self.trees.probability(x[test])
@@ -330,6 +406,31 @@ class Judge:
             best = max(np.linspace(0.2, 0.8, 13), key=lambda c: (_f1(p[of] >= c, y[test][of]), -abs(c - 0.5)))
             self.limits[k], self.held_out[name] = best, _f1(p[of] >= best, y[test][of])
 
+    @staticmethod
+    def _taught(texts, spans, labels, around, part, words) -> tuple[frozenset, list[Contexts]]:
+        """The parts of names, and the contexts that each part of the sample lacks (the last are those of all)."""
+        names: set[str] = set()
+        contexts = [Contexts() for _ in range(5)]
+        for t, c, y, w, of in zip(texts, spans, labels, around, part):
+            for (kind, s, e), v, ws in zip(c, y, w):
+                if v >= 0 and not (kind == PERSON and t.startswith("M. ", s)):  # the context of a title is that of the name after it
+                    for k in range(5):
+                        if k != of:
+                            contexts[k].add(kind, ws, v)
+                    if v and kind == PERSON:
+                        names.update(p.lower() for p in re.findall(r"[^\W\d_][\w’'\-]+", t[s:e]))
+        return frozenset(n for n in names if n not in words), [c.made() for c in contexts]
+
+    def _more(self, text: str, span: tuple[int, int, int], label: int, contexts: Contexts, around: list[str]) -> int:
+        """A label for a candidate without evidence: from its context, or if it is a name from names known by now."""
+        kind, s, e = span
+        score = contexts.score(kind, around)[2]
+        if kind != PERSON:
+            return 1 if score >= SURE else 0 if score <= -SURE else label
+        parts = [p.lower() for p in re.findall(r"[^\W\d_][\w’'\-]+", text[s:e])]
+        known = sum(p in self.names for p in parts)
+        return 1 if score >= SURE or known and (known == len(parts) and " " in text[s:e] or score + SURE * known >= SURE) else label
+
     def select(self, docs: list[list[tuple[int, int, int]]], x: np.ndarray) -> list[list[tuple[int, int, int]]]:
         """Of each document's candidates those over their threshold, the surest first, none over another."""
         p = self.trees.probability(x) if len(x) else np.zeros(0)
@@ -337,11 +438,12 @@ class Judge:
         for found in docs:
             sure = [(kind != EMAIL, -(min(q, 0.97) + 0.0001 * (e - s)), s, e, kind) for (kind, s, e), q in zip(found, p[at : at + len(found)]) if q >= self.limits[kind]]
             at += len(found)
-            taken: list[tuple[int, int, int]] = []
+            taken: list[tuple[int, int, int]] = []  # by start; as none overlaps, only the neighbours can
             for _, _, s, e, kind in sorted(sure):
-                if all(e <= a or b <= s for _, a, b in taken):
-                    taken.append((kind, s, e))
-            out.append(sorted(taken, key=lambda t: t[1]))
+                i = bisect_right(taken, (s, e, 9))
+                if (not i or taken[i - 1][1] <= s) and (i == len(taken) or e <= taken[i][0]):
+                    insort(taken, (s, e, kind))
+            out.append([(kind, s, e) for s, e, kind in taken])
         return out
 
 
@@ -351,13 +453,10 @@ def _f1(got: np.ndarray, want: np.ndarray) -> float:
 
 
 def fitted(df: DataFrame, id_col: str, text_col: str, sample_docs: int = SAMPLE_DOCS) -> Judge:
-    """A judge from at most ``sample_docs`` documents of up to 50,000 signs (a bound on what is fitted, not on what is searched), chosen by the hash of their id whatever the order of rows."""
-    docs = df.select(id_col, text_col).where(F.length(text_col).between(1, 50_000))
-    share = sample_docs / max(1, docs.select(id_col).count())
-    if share < 1:
-        docs = docs.where(F.pmod(F.xxhash64(F.lit("pii"), id_col), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.select(text_col).limit(sample_docs).collect()
-    return Judge(sorted(r[0] for r in rows))
+    """A judge from the ``sample_docs`` documents with the least hash of their id, of up to ``SAMPLE_SIGNS`` signs (a bound on what is fitted, not on what is searched)."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = sampled(docs.where(F.length("text").between(1, SAMPLE_SIGNS)), "id", sample_docs, "pii", docs.select("id").count())  # counted from the files' footers
+    return Judge(sorted(r.text for r in rows))
 
 
 def _places(text: str, spans: list[tuple[int, int, int]], starts, ends) -> list[tuple[int, int, int]]:
@@ -375,7 +474,7 @@ def _searched(judge, carry: int, schema: pa.Schema, whole: bool):
                 texts = [t or "" for t in part.column(carry).to_pylist()]
                 forms = [folded(t, canon) for t in texts]
                 found = [candidates(f) for f, _, _ in forms]
-                x = [features(f, c, j.names, j.words) for (f, _, _), c in zip(forms, found)]
+                x = [features(f, c, j.names, j.contexts) for (f, _, _), c in zip(forms, found)]
                 chosen = j.select(found, np.concatenate([r for r in x if len(r)] or [np.zeros((0, FEATURES), np.float32)]))
                 places = [_places(t, c, s, e) for t, c, (_, s, e) in zip(texts, chosen, forms)]
                 ids = pa.array(np.repeat(np.arange(len(texts)), [1 if whole else len(p) for p in places]).astype(np.int64))

@@ -1,8 +1,10 @@
+import time
+
 import numpy as np
 import pytest
 
 from lorecast.llm.boosting import Boosted
-from lorecast.llm.pii import Judge, found_pii, folded, redacted
+from lorecast.llm.pii import Judge, candidates, checked, evidence, features, found_pii, folded, redacted
 
 DATA = "/root/testdata/sf0.1"
 
@@ -34,6 +36,41 @@ def test_held_out_accuracy(judge):
     assert len(judge.held_out) >= 3 and min(judge.held_out.values()) > 0.95
 
 
+def test_contexts_carry_over_to_documents_never_seen(spark, judge):
+    """Spans that bear evidence in other documents than those of the sample, which the trees don't see."""
+    texts = [folded(r.text)[0] for r in spark.read.parquet("/root/testdata/check_s/documents.parquet").select("text").dropna().limit(1500).collect()]
+    hit = got = want = 0
+    for t in texts:
+        found = candidates(t)
+        chosen = set(judge.select([found], features(t, found, judge.names, judge.contexts))[0])
+        for c, v in zip(found, evidence(t, found, frozenset(), frozenset())):
+            if v >= 0 and c[0] in (1, 2):
+                hit, got, want = hit + (c in chosen and v), got + (c in chosen), want + v
+    assert want > 100 and hit / want > 0.97 and hit / got > 0.97
+
+
+def test_check_digits():
+    assert checked("11010519491231002X") and not checked("110105194912310021") and checked("255081416802538") and not checked("255081416802539")
+    assert checked("86095742719") and not checked("86095742710") and checked("123456789") is None
+
+
+def test_very_many_candidates_of_one_text(judge):
+    text = "".join(f"call 020 7946 {i:04d}, Ask Dr. Clio Achterveld. " for i in range(8000))
+    began = time.time()
+    found = candidates(text)
+    x = features(text, found, judge.names, judge.contexts)
+    chosen = judge.select([found], x)[0]
+    made = time.time() - began
+    began = time.time()
+    judge.select([found], x)
+    assert len(found) >= 16_000 and len(chosen) >= 8_000 and time.time() - began < 1 and made < 15
+
+
+def test_a_sample_without_evidence_is_an_error():
+    with pytest.raises(ValueError, match="evidence"):
+        Judge(["Copper Toolkit rings Java Corner."])
+
+
 def test_cases_in_their_places(spark, judge):
     rows = [(i, "x\n" + t + "\ny", "z") for i, (t, _) in enumerate(CASES)] + [(100, None, "z"), (101, "", "z"), (102, "word " * 50_000 + "call 020 7946 0638 now", "z")]
     df = spark.createDataFrame(rows, "doc_id int, text string, pii_type_of string").repartition(4)
@@ -63,6 +100,11 @@ def test_empty_table(spark, judge):
     assert found_pii(df, ["doc_id"], "text").count() == 0
 
 
+def test_gates_let_every_spelling_pass(judge):
+    for mail in ("jane.roe {AT} site.example", "jane.roe <at> site.example", "jane.roe [ät] site.example", "jane.roe (AROBASE) site [point] example", "jane.roe at site [dot] example"):
+        assert (0, 6, 6 + len(mail)) in candidates(f"Write {mail} now."), mail
+
+
 def test_trees_learn_and_calibrate():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 5)).astype(np.float32)
