@@ -1,8 +1,9 @@
 """The main body of pages: a line classifier gives costs, a minimum cut over the page's lines draws the border.
 
 Each line of a page is a node. What the classifier takes it for becomes its capacities to the two terminals; lines next to
-each other, lines of one list, of one code block or between one pair of tags are joined by edges. The minimum cut labels the
-lines. Nodes whose own cost outweighs all their edges are decided first, which changes no optimum; max-flow decides the rest.
+each other, lines of one list, of one code block or between one pair of tags, and a list with the line that leads to it, are
+joined by edges. The minimum cut labels the lines. Nodes whose own cost outweighs all their edges are decided first, which
+changes no optimum; max-flow decides the rest.
 
 The classifier learns from pages of documents whose text is at hand: a line found in the text, in order, is main body.
 """
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 
 from lorecast.functions.keys import key
 from lorecast.llm.canonical import canonicalizer
+from lorecast.llm.sampling import sampled
 
-#: The classifier is fitted on the pages of at most so many documents.
-SAMPLE_DOCS = 600
+#: The classifier is fitted on at most so many pages of at most so many documents of at most so many signs.
+SAMPLE_DOCS, SAMPLE_PAGES, SAMPLE_SIGNS = 600, 4_800, 50_000
 HASHES = 1 << 18
 #: What the place of a line counts against what the line itself says; its neighbours also speak through the edges.
 PLACE = 0.4
@@ -85,29 +87,35 @@ class Page:
             self.block.append(inside)
             self.marker.append(next((x for x in m.groups() if x), "")[:1] if m else "")
             gap = False
+        self.lead: list[int] = []  # the line with a colon that leads to the list or block, -1 for none
+        for i in range(len(self.lines)):
+            lead = -1
+            if i and (self.marker[i] not in ("", "#") or self.block[i] >= 0):
+                same = self.marker[i] == self.marker[i - 1] if self.block[i] < 0 else self.block[i] == self.block[i - 1]
+                lead = self.lead[-1] if same else i - 1 if self.lines[i - 1][-1] in ":：" else -1
+            self.lead.append(lead)
 
     def words(self, i: int) -> list[str]:
-        """What the classifier sees of line ``i`` itself."""
+        """What the classifier sees of line ``i`` itself: its words and build, never the line as a whole."""
         line = self.lines[i]
         masked = _masked(line)
         tokens = _TOKEN.findall(masked.lower())
         out = tokens + [m[1] for m in _HAN2.finditer(masked)]
         last = line[-1:]
         out += [
-            "L=" + masked, "F=" + " ".join(tokens[:2]), "E=" + " ".join(tokens[-2:]), f"m={self.marker[i]}", f"n={min(len(tokens), 12)}", f"c={min(len(line) // 12, 8)}",
+            "F=" + " ".join(tokens[:2]), "E=" + " ".join(tokens[-2:]), f"m={self.marker[i]}", f"n={min(len(tokens), 12)}", f"c={min(len(line) // 12, 8)}",
             "q=" + last if not last.isalnum() else "q=w", f"t={'`' in line}{'I' in masked}", f"b={line.count('`') % 2}{self.block[i] >= 0}", f"u={bool(re.search(r'https?:|www|[a-z]+/[a-zA-Z_]|](/)', line))}",
         ]
         return out
 
     def around(self, i: int, n: int) -> list[str]:
         """What it sees of the place of line ``i`` of ``n``."""
-        before = _masked(self.lines[i - 1])[-30:] if i else "^"
-        after = _masked(self.lines[i + 1])[:30] if i + 1 < n else "$"
-        return [f"top={min(i, 5)}", f"end={min(n - 1 - i, 5)}", f"g={self.gap[i]}{i + 1 < n and self.gap[i + 1]}", "P=" + before, "N=" + after, f"Pm={self.marker[i - 1] if i else '^'}", f"Nm={self.marker[i + 1] if i + 1 < n else '$'}"]
+        return [f"top={min(i, 5)}", f"end={min(n - 1 - i, 5)}", f"g={self.gap[i]}{i + 1 < n and self.gap[i + 1]}", f"l={self.lead[i] >= 0}{i + 1 < n and self.lead[i + 1] == i}", f"Pm={self.marker[i - 1] if i else '^'}", f"Nm={self.marker[i + 1] if i + 1 < n else '$'}"]
 
     def edges(self, strength: tuple[float, ...]) -> list[tuple[int, int, float]]:
-        """(i, j, weight): neighbours, with and without a blank line between, of one list, of one block, and one line apart."""
-        near, far, listed, inside, apart = strength
+        """(i, j, weight): neighbours, with and without a blank line between, of one list, of one block, one line apart, and a
+        list or block with the line that leads to it by a colon."""
+        near, far, listed, inside, apart, led = strength
         out = []
         first: dict[int, int] = {}
         for i in range(len(self.lines)):
@@ -118,6 +126,8 @@ class Page:
                 if self.block[i] >= 0 and self.block[i] == self.block[i - 1]:
                     w += inside
                 out.append((i - 1, i, w))
+                if self.lead[i] == i - 1:
+                    out.append((i - 1, i, led))
                 if i > 1 and not self.gap[i] and not self.gap[i - 1]:
                     out.append((i - 2, i, apart))
             if self.block[i] >= 0:
@@ -224,7 +234,7 @@ class LineClassifier:
     """Logistic regression on hashed words of a line and its place; scores are log odds of not being main body."""
 
     #: Strengths of edges tried on held-out pages.
-    TRIED = ((0.0, 0.0, 0.0, 0.0, 0.0), (0.15, 0.05, 0.4, 1.0, 0.05), (0.3, 0.1, 0.8, 2.0, 0.1), (0.6, 0.2, 1.5, 3.0, 0.2), (1.0, 0.3, 2.0, 4.0, 0.3))
+    TRIED = ((0.05, 0.02, 0.1, 0.3, 0.02, 0.3), (0.15, 0.05, 0.4, 1.0, 0.05, 1.0), (0.15, 0.05, 1.5, 2.0, 0.05, 3.0), (0.15, 0.05, 4.0, 3.0, 0.05, 8.0), (0.3, 0.1, 0.8, 2.0, 0.1, 2.0), (0.3, 0.1, 2.5, 4.0, 0.1, 6.0), (0.6, 0.2, 1.5, 3.0, 0.2, 4.0), (1.0, 0.3, 2.0, 4.0, 0.3, 6.0))
 
     def __init__(self, pages: list[Page], labels: list[list[int]], rounds: int = 120, seed: int = 3):
         fit = np.random.default_rng(seed).random(len(pages)) < 0.8 if len(pages) > 20 else np.ones(len(pages), bool)
@@ -237,18 +247,21 @@ class LineClassifier:
             for i in range(part, len(taught), 2):
                 clean[i] = [-1 if v >= 0 and (x > 0) != v else v for v, x in zip(told[i], self.scores(taught[i], {}))]
         self._fit(taught, clean, rounds)
-        self.strength, self.held_out = self.TRIED[1], None
+        self.strength, self.held_out, self.turned = self.TRIED[1], None, 0.0
         held = [(p, y) for p, y, f in zip(pages, labels, fit) if not f]
         if held:
             best = []
-            for strength in self.TRIED[1:]:
+            scored = [(p, self.scores(p, {}), y) for p, y in held]
+            for strength in self.TRIED:
                 hit = got = want = 0
-                for p, y in held:
-                    for marked, true in zip(minimum_cut(self.scores(p, {}), p.edges(strength)), y):
+                for p, scores, y in scored:
+                    for marked, true in zip(minimum_cut(scores, p.edges(strength)), y):
                         if true >= 0:
                             hit, got, want = hit + (marked and true), got + marked, want + true
                 best.append((2 * hit / max(1, got + want), strength))
             self.held_out, self.strength = max(best, key=lambda b: b[0])
+            cut = [(m, x > 0) for p, scores, _ in scored for m, x in zip(minimum_cut(scores, p.edges(self.strength)), scores)]
+            self.turned = sum(m != alone for m, alone in cut) / max(1, len(cut))  # labels that the cut changes against the classifier alone
 
     def _fit(self, pages: list[Page], labels: list[list[int]], rounds: int) -> None:
         idx, row, val, y = [], [], [], []
@@ -332,17 +345,21 @@ def web_pages(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def fitted(chunks: DataFrame, documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LineClassifier:
-    """A classifier from the pages of at most ``sample_docs`` web documents of up to 50,000 signs, chosen by the hash of their id."""
-    docs = documents.where((F.lower("source_type") == "url") & F.length("text").between(1, 50_000)).select(key("id").alias("doc_id"), "text")
-    share = sample_docs / max(1, docs.count())
-    if share < 1:
-        docs = docs.where(F.pmod(F.xxhash64(F.lit("page"), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = docs.limit(sample_docs)
-    pages = web_pages(chunks, documents).join(F.broadcast(sample), "doc_id").select("chunk_id", "content", "text").limit(sample_docs * 8)  # at most sample_docs rows are broadcast
+    """A classifier from the pages of the ``sample_docs`` web documents with the least hash of their id (of up to ``SAMPLE_SIGNS``
+    signs, and of their pages up to ``SAMPLE_PAGES``): bounds on what is fitted, not on what is labelled.
+
+    Web documents without a page that shows any of their text are an error.
+    """
+    docs = documents.where((F.lower("source_type") == "url") & F.length("text").between(1, SAMPLE_SIGNS)).select(key("id").alias("doc_id"), "text").where("doc_id is not null")
+    texts = {r.doc_id: r.text for r in sampled(docs, "doc_id", sample_docs, "page", documents.count())}
+    of_sample = chunks.where(key("doc_id").isin(list(texts)))  # a list of bounded length, no join
+    pages = sampled(web_pages(of_sample, documents).where(F.length("content") <= SAMPLE_SIGNS), "chunk_id", SAMPLE_PAGES, "page", 0) if texts else []
     form = canonicalizer()
-    rows = sorted({(r.content, r.text) for r in pages.collect()})
-    made = [(Page(form(c)), form(t)) for c, t in rows]
-    return LineClassifier([p for p, _ in made], [aligned(p, t) for p, t in made])
+    made = [(Page(form(c)), form(t)) for c, t in sorted({(r.content, texts[r.doc_id]) for r in pages})]
+    labels = [aligned(p, t) for p, t in made]
+    if made and not any(0 in y for y in labels):
+        raise ValueError("no page of the sample shows the text of its document, so nothing teaches what a main body is")
+    return LineClassifier([p for p, _ in made], labels)
 
 
 def _mark(model, main: bool):
