@@ -21,18 +21,29 @@ from lorecast.functions.keys import key
 from lorecast.operators.skew import HOT_ROWS, salted_join
 from lorecast.session import write_shared
 
-# Letters of other scripts and the Latin letter each looks like.
-LOOK_ALIKES = {
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "у": "y",
-    "ѵ": "v", "ԝ": "w", "х": "x", "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M",
-    "Ν": "N", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Υ": "Y", "Ү": "Y", "Ӏ": "I",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X",
-    "ο": "o", "ν": "v", "ι": "i", "α": "a", "ρ": "p", "υ": "u", "γ": "y", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J", "σ": "o",
-    "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "զ": "q", "յ": "j", "Տ": "S", "Օ": "O", "Լ": "L",
-    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P",
-    "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
-    "ɡ": "g", "ɑ": "a", "ı": "i", "ɩ": "i", "ꞌ": "'",
+# Letters of other scripts (and two of Latin) and the Latin letter each looks like, by script.
+LOOK_ALIKES_OF = {
+    "Cyrillic": {
+        "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
+        "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ӏ": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y",
+    },
+    "Greek": {
+        "ϲ": "c", "ι": "i", "ϳ": "j", "ο": "o", "ρ": "p", "υ": "u", "ν": "v",
+        "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
+    },
+    "Armenian": {"ց": "g", "հ": "h", "յ": "j", "ո": "n", "օ": "o", "զ": "q", "ս": "u", "Լ": "L", "Օ": "O", "Տ": "S", "Ս": "U"},
+    "Cherokee": {
+        "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    },
+    "Coptic": {"ⲥ": "c", "ⲟ": "o", "ⲣ": "p", "Ⲃ": "B", "Ⲥ": "C", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲧ": "T", "Ⲭ": "X", "Ⲩ": "Y"},
+    "Lisu": {
+        "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    },
+    "Latin": {"ɑ": "a", "ɡ": "g", "ꞌ": "'"},
 }
+LOOK_ALIKES = {sign: latin for signs in LOOK_ALIKES_OF.values() for sign, latin in signs.items()}
+# Where the letters of these scripts stand, as insides of character classes.
+BLOCKS = {"Cyrillic": "Ѐ-ԯ", "Greek": "Ͱ-Ͽἀ-῿", "Armenian": "԰-֏", "Cherokee": "Ꭰ-᏿", "Coptic": "Ⲁ-⳿", "Lisu": "ꓐ-꓿"}
 
 # Ranges of characters that show nothing.
 INVISIBLE = (
@@ -99,6 +110,9 @@ class Canonicalizer:
         self.single = re.compile(f"[{spans(single)}]")
         self.moving = re.compile(f"[{spans({c for c in unstable - single if c < 0x10000})}]+")
         self.anywhere = re.compile(f"[{spans(unstable - single)}]+")  # slower, for texts with signs beyond the basic plane
+        self.backs = {n: {ord(b): a for a, b in reversed(LOOK_ALIKES_OF[n].items())} for n in BLOCKS}
+        self.own = {n: re.compile(f"[{block}]") for n, block in BLOCKS.items()}
+        self.foreign = re.compile(f"[{''.join(BLOCKS.values())}]")
 
     def normal(self, segment: str) -> str:
         return unicodedata.normalize("NFC", unicodedata.normalize("NFD", segment).translate(self.table))
@@ -108,7 +122,19 @@ class Canonicalizer:
         table = self.table
         return self.single.sub(lambda m: table[ord(m[0])], text), self.anywhere if _ASTRAL.search(text) else self.moving
 
+    def _genuine(self, word: re.Match) -> str:
+        """A word with letters of one other script that look like no Latin ones is of that script: its look-alikes become its own."""
+        bare = unicodedata.normalize("NFD", word[0])
+        of = [n for n, own in self.own.items() if own.search(bare)]
+        return unicodedata.normalize("NFC", bare.translate(self.backs[of[0]])) if len(of) == 1 else word[0]
+
     def __call__(self, text: str) -> str:
+        """The one form: that of looks, with words of other scripts in their own letters. Equal looks give equal forms."""
+        text = self.look(text)
+        return _WORD.sub(self._genuine, text) if not text.isascii() and self.foreign.search(text) else text
+
+    def look(self, text: str) -> str:
+        """The form in which all letters that look like Latin ones are."""
         if text.isascii() and not _CONTROL.search(text):
             return text
         text, segments = self.replaced(text)
@@ -121,6 +147,7 @@ class Canonicalizer:
 
 
 _ASTRAL = re.compile("[\U00010000-\U0010ffff]")
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 _CONTROL = re.compile(r"[\x00-\x08\x0d-\x1b\x7f]")
 
 
@@ -134,7 +161,8 @@ def canonical(text: Column) -> Column:
     """The one form of ``text``; null stays null, an empty text empty, however long it is.
 
     Width forms, composed and combined accents, kinds of blank, invisible characters, joined letters and look-alike letters
-    come out alike. Case, accents, line breaks and signs drawn differently stay apart; a carriage return shows nothing.
+    come out alike; words of another script keep its letters. Case, accents, line breaks and signs drawn differently stay apart;
+    a carriage return shows nothing.
     """
     canon = canonicalizer()
 

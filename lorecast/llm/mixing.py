@@ -20,9 +20,9 @@ from lorecast.session import write_shared
 
 #: The part of a budget that the knapsack fills exactly; what is above is taken in proportion to the lengths' counts.
 KNAPSACK_TOKENS = 1 << 16
-#: Of one source and length more documents than this are ranked in parts.
+#: Of one source and length more documents than this are ranked in parts by the first bits of their hash, which changes no rank.
 RANK_ROWS = 10_000
-PARTS = 4096
+PART_BITS = 12
 
 
 def fill_budget(lengths: Sequence[int], counts: Sequence[int], budget: int, seed: int = 0) -> list[int]:
@@ -116,14 +116,14 @@ def mixed(docs: DataFrame, id_col: str, targets: DataFrame, total_tokens: int |
     budgets = mix_budgets(hist, targets, total_tokens).where("budget > 0")
     lengths = hist.join(F.broadcast(budgets), "source")  # a row per target of the given mixes
     quota = lengths.groupBy("mix_name", "source").applyInPandas(_fill(seed), "mix_name string, source string, n bigint, docs bigint, whole bigint, extra bigint")
-    quota = write_shared(quota.where("whole > 0 or extra > 0"), "quota")
+    quota = write_shared(quota.where("whole > 0 or extra > 0"), "quota").hint("merge")  # a row per length and target: never broadcast
     joined = salted_join(known, quota, ["source", "n"], "inner", F.col("id"), hot_rows)
     h = F.xxhash64(F.lit(seed), "mix_name", "id")
-    part = F.when(F.col("docs") > RANK_ROWS, F.pmod(h, F.lit(PARTS))).otherwise(F.lit(0))
+    part = F.when(F.col("docs") > RANK_ROWS, F.shiftright("h", 64 - PART_BITS)).otherwise(0)  # parts are in the order of the hash
     hashed = joined.withColumn("h", h).withColumn("part", part.cast("int"))
     group = ["mix_name", "source", "n"]
-    sizes = hashed.where("part > 0 or docs > " + str(RANK_ROWS)).groupBy(*group, "part").agg(F.count("*").alias("rows"))
-    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows
+    sizes = hashed.where(F.col("docs") > RANK_ROWS).groupBy(*group, "part").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 ** PART_BITS rows
     sizes = sizes.select(*group, "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     placed = hashed.join(sizes, [*group, "part"], "left")
     rank = F.row_number().over(Window.partitionBy(*group, "part").orderBy("h", "id")) + F.coalesce("offset", F.lit(0))

@@ -116,4 +116,30 @@ _P4 = {
     SELECT c AS conversation_id, CASE WHEN early AND coalesce(reason, '') <> 'empty' THEN 'broken' ELSE reason END AS reason FROM reasons LEFT JOIN early USING (c) WHERE reason IS NOT NULL OR early""",
 }
 
-QUERIES = {"p7_mix": (p7_mix, None), "p7_shares": (p7_shares, None), "p2_found": (p2_found, None), "p5_found": (p5_found, None), "p5_main": (p5_main, None), "p8_found": (p8_found, None), "p8_redacted": (p8_redacted, None), "p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, _P4["p4_found"]), "p4_conversations": (p4_conversations, _P4["p4_conversations"]), "p4_threads": (p4_threads, _P4["p4_threads"]), "p3_found": (p3_found, None), "p3_classes": (p3_classes, None), "p3_canonical": (p3_canonical, None)}
+
+
+def _looks(table_name: str, text: str) -> str:
+    """SQL for (id, form, text): signs replaced one by one, joined letters taken apart, invisible signs left out, composed."""
+    canon = canonical.canonicalizer()
+    single = {chr(c): to for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF and len(to := canon.look(chr(c))) == 1 and to != chr(c)}
+    several = {chr(c): to for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF and len(to := canon.look(chr(c))) > 1}
+    quoted = lambda t: t.replace("'", "''")
+    shown = f"translate({text}, '{quoted(''.join(single))}', '{quoted(''.join(single.values()))}')"
+    for sign, to in several.items():
+        shown = f"replace({shown}, '{sign}', '{to}')"
+    gone = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in canonical.INVISIBLE)
+    return f"SELECT DISTINCT '{table_name}' AS table_name, nullif(lower(trim(id)), '') AS id, nfc_normalize(regexp_replace({shown}, '[{gone}]', '', 'g')) AS form, {text} AS text FROM {table_name} WHERE {text} IS NOT NULL AND nullif(trim(id), '') IS NOT NULL"
+
+
+def _p3_sql() -> dict[str, str]:
+    rows = "WITH r AS (" + " UNION ALL ".join(_looks(t, c) for t, _, c in LOOKS) + "), s AS (SELECT * FROM r WHERE (table_name, form) IN (SELECT (table_name, form) FROM r GROUP BY table_name, form HAVING count(DISTINCT text) > 1)) "
+    return {
+        "p3_found": rows + "SELECT DISTINCT a.table_name, a.id AS id_1, b.id AS id_2 FROM s a JOIN s b USING (table_name, form) WHERE a.id < b.id AND a.text <> b.text",
+        "p3_classes": rows
+        + """SELECT table_name, id, min(id) OVER f AS class_id, t AS texts, count(*) OVER f - count(*) OVER (PARTITION BY table_name, form, text) AS links
+        FROM s JOIN (SELECT table_name, form, count(DISTINCT text) AS t FROM s GROUP BY 1, 2) USING (table_name, form) WINDOW f AS (PARTITION BY table_name, form)""",
+    }
+
+
+_P3 = _p3_sql()
+QUERIES = {"p7_mix": (p7_mix, None), "p7_shares": (p7_shares, None), "p2_found": (p2_found, None), "p5_found": (p5_found, None), "p5_main": (p5_main, None), "p8_found": (p8_found, None), "p8_redacted": (p8_redacted, None), "p6_ids": (p6_ids, None), "p6_decoded": (p6_decoded, "SELECT doc_id, coalesce(text, '') AS text FROM documents"), "p4_found": (p4_found, _P4["p4_found"]), "p4_conversations": (p4_conversations, _P4["p4_conversations"]), "p4_threads": (p4_threads, _P4["p4_threads"]), "p3_found": (p3_found, _P3["p3_found"]), "p3_classes": (p3_classes, _P3["p3_classes"]), "p3_canonical": (p3_canonical, None)}

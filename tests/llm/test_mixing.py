@@ -61,6 +61,12 @@ def test_shares_and_repeats(docs, targets, monkeypatch, hot_rows, rank_rows):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
 
 
+def test_the_choice_does_not_depend_on_the_number_of_documents_of_a_length(docs, targets, monkeypatch):
+    whole = sorted(map(tuple, mixed(docs, "doc_id", targets).collect()))
+    monkeypatch.setattr(mixing, "RANK_ROWS", 5)
+    assert sorted(map(tuple, mixed(docs, "doc_id", targets).collect())) == whole
+
+
 def test_given_total_and_empty(docs, targets):
     mix = mixed(docs, "doc_id", targets, total_tokens=10**9)
     got = {(r.mix_name, r.source): r for r in actual_shares(mix, docs, targets).collect()}
