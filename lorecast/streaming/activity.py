@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lorecast.operators.reviews import START, STATE, reviewed
+from lorecast.operators.reviews import START, STATE, Review
 
 
 def hourly_counts(events: DataFrame, time_col: str, kind_col: str, late: str = "2 hours") -> DataFrame:
@@ -33,19 +33,17 @@ def append_to(path: str):
     return write
 
 
-_COLUMNS = [x.split()[0] for x in STATE.split(", ")]
-
-
 def _review(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    now = tuple(state.get) if state.exists else START
+    now = Review(*state.get) if state.exists else START
     for rows in batches:
-        for quality in rows.sort_values(["at", "id"])["quality"]:
-            now = reviewed(now, int(quality))
-    state.update(now)
-    yield pd.DataFrame([(str(key[0]), str(key[1]), *now)], columns=["learner", "exercise", *_COLUMNS])
+        for quality, difficulty in rows.sort_values(["at", "id"])[["quality", "difficulty"]].itertuples(index=False):
+            now = now.answered(int(quality), difficulty)
+    state.update(tuple(now))
+    yield pd.DataFrame([(str(key[0]), str(key[1]), *now)], columns=["learner", "exercise", *Review._fields])
 
 
 def review_stream(answers: DataFrame) -> DataFrame:
-    """The review states that changed in each batch, from a stream of (learner, exercise, at, id, quality)."""
-    known = answers.select(F.col("learner").cast("string"), F.col("exercise").cast("string"), "at", "id", F.col("quality").cast("int")).dropna()
+    """The review states that changed in each batch, from a stream of (learner, exercise, at, id, quality[, difficulty])."""
+    difficulty = F.coalesce("difficulty", F.lit("")) if "difficulty" in answers.columns else F.lit("medium")
+    known = answers.select(F.col("learner").cast("string"), F.col("exercise").cast("string"), "at", "id", F.col("quality").cast("int"), difficulty.alias("difficulty")).dropna()
     return known.groupBy("learner", "exercise").applyInPandasWithState(_review, f"learner string, exercise string, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorecast.functions import cleaning as C
 from lorecast.operators import chunking as K
-from lorecast.operators.reviews import START, review_states, reviewed
+from lorecast.operators.reviews import START, Review, in_mode, is_right, quality_of, review_states
 from lorecast.sources import files, sinks
 from lorecast.streaming import activity
 
@@ -35,25 +35,53 @@ def test_cleaning(spark, expr, text, want):
     assert one(spark, None, expr) in (None, -1)
 
 
+def _of(chunks):
+    return [x[:2] for x in chunks]
+
+
 def test_markdown_chunks():
     text = "intro that is long enough to be kept here\n# Head\nbody body body body body body\n```python\n# not a head\nprint('a long enough line of code')\n```\ntail that is long enough to be kept too"
-    got = list(K.markdown_chunks(text))
+    got = _of(K.markdown_chunks(text))
     assert [k for k, _ in got] == ["text", "text", "code_block_python", "text"] and got[2][1].startswith("```python") and got[1][1].startswith("# Head")
-    assert [k for k, _ in K.markdown_chunks("# Head\n" + "body " * 10)] == ["text_heading"]
+    assert [k for k, _ in _of(K.markdown_chunks("# Head\n" + "body " * 10))] == ["text_heading"]
     assert list(K.markdown_chunks("# short")) == [] and list(K.markdown_chunks("")) == []
-    long = list(K.markdown_chunks("\n".join(["x" * 99] * 200)))
+    long = _of(K.markdown_chunks("\n".join(["x" * 99] * 200)))
     assert len(long) == 4 and sum(len(c.replace("\n", "")) for _, c in long) == 99 * 200
-
-
-def test_code_and_prose_chunks():
-    got = list(K.code_chunks("import a\n\ndef f(x):\n    return x\n\nclass B:\n    def g(self):\n        pass"))
-    assert [k for k, _ in got] == ["text", "function", "class", "function"]
-    assert "\n".join(c for _, c in got).replace("\n", "") == "import adef f(x):    return xclass B:    def g(self):        pass"
+    assert [k for k, _ in _of(K.markdown_chunks("```\n" + "y" * 40 + "\n```\n```js\n" + "z" * 40 + "\n# in code"))] == ["code_block", "code_block_js"]
+
+
+def test_lines_of_markdown_are_all_kept_in_order():
+    lines = [f"{'# ' if i % 50 == 0 else ''}line {i} " + "w" * (i * 7 % 200) for i in range(900)]
+    chunks = list(K.markdown_chunks("\n".join(lines)))
+    assert [line for _, c, _, _ in chunks for line in c.split("\n")] == [line.rstrip() if n in {b - 1 for *_, b in chunks} else line for n, line in enumerate(lines)]
+    assert [a for *_, a, _ in chunks][1:] == [b for *_, b in chunks][:-1] and all(len(c) <= 6004 + 220 for _, c, _, _ in chunks)
+
+
+@pytest.mark.parametrize(("language", "text", "kinds"), [
+    ("python", "import a\n\ndef f(x):\n    return x\n\nclass B:\n    def g(self):\n        pass\n@wraps\nx = 1", ["text", "function", "class", "function", "function"]),
+    ("go", "package a\nfunc (s *S) Run(x int) {\n}\ntype S struct {\n}", ["text", "function", "class"]),
+    ("rust", "use a;\nfn run() {}\nstruct S;\nimpl S {}", ["text", "function", "class", "class"]),
+    ("javascript", "let a\nfunction run() {}\nclass S {}", ["text", "function", "class"]),
+    ("c", "#include <a.h>\nint main(void) {\n}\ntypedef struct node {", ["text", "function", "class"]),
+    ("csharp", "using A;\nabstract class B\n  public int Run(int x) {", ["text", "class", "function"]),
+    ("java", "import a;\npublic class B {\npublic static void main(String[] x) {", ["text", "class", "function"]),
+    ("unknown", "a = 1\ndef f(): pass", ["text", "function"]), (None, "def f(): pass\nclass A: pass", ["text", "class"]),
+])
+def test_code_chunks_by_language(spark, language, text, kinds):
+    df = spark.createDataFrame([(1, text, language)], "doc_id int, text string, language string")
+    rows = K.chunked(df, "doc_id", "text", F.lit("code"), F.col("language"), carry=["language"]).orderBy("chunk_index").collect()
+    assert [r.chunk_type for r in rows] == kinds and "\n".join(r.content for r in rows) == text and rows[-1].end_line == text.count("\n") + 1 and rows[0].language == language
+
+
+def test_long_code_and_prose_chunks():
+    code = "\n".join(f"x{i} = {'1' * 90}" for i in range(300))
+    got = list(K.code_chunks(code, [0] * 300))
+    assert "\n".join(c for _, c, _, _ in got) == code and all(6004 <= len(c) < 6200 for _, c, _, _ in got[:-1]) and {k for k, *_ in got} == {"text"}
     paragraphs = [f"{i} " + "word " * 300 for i in range(5)]
-    prose = [c for _, c in K.prose_chunks("\n\n".join(paragraphs))]
+    prose = [c for _, c, _, _ in K.prose_chunks("\n\n".join(paragraphs))]
     assert len(prose) == 3 and prose[1].startswith(prose[0][-200:].strip())
-    sentences = [c for _, c in K.prose_chunks("A sentence of some length. " * 400)]
-    assert all(len(c) <= 4003 for c in sentences) and re.sub(r"\s", "", "".join(sentences)) == re.sub(r"\s", "", "A sentence of some length. " * 400)
+    sentences = [c for _, c, _, _ in K.prose_chunks("A sentence of some length. " * 400)]
+    assert all(len(c) <= 4004 for c in sentences) and re.sub(r"\s", "", "".join(sentences)) == re.sub(r"\s", "", "A sentence of some length. " * 400)
 
 
 def test_chunked_table(spark):
@@ -74,20 +102,35 @@ def answers(spark, rows):
 def test_reviews(spark):
     s = START
     for q in (5, 5, 5, 4, 5):
-        s = reviewed(s, q)
-    assert s[4] == 5 and s[5] > 30 and s[6] > 2.5
-    s = reviewed(s, 1)
-    assert s[3:6] == (1, 0, 0) and reviewed(s, 9)[7] == 5
+        s = s.answered(q)
+    assert s.repetitions == 5 and s.interval_days > 30 and s.ease > 2.5 and s.mastered
+    s = s.answered(1)
+    assert (s.misses, s.repetitions, s.interval_days, s.mastered) == (1, 0, 0, False) and s.answered(9).last_quality == 5
+    eases = [START.answered(5, x).ease for x in ("easy", "medium", "hard", "odd", None)]
+    assert eases == pytest.approx([2.6, 2.4, 2.1, 2.6, 2.6]) and START.answered(3).interval_days == 1
+    assert Review(2, 2, 2, 0, 2, 6, 2.5).answered(3).interval_days == 12 and Review(2, 2, 2, 0, 2, 0, 1.3).answered(3).interval_days == 1
     rows = [("a", "1", h, q) for h, q in ((5, 1), (1, 5), (3, 4))] + [("a", "1", None, 5), ("b", "1", 1, None), (None, "1", 1, 5)] + [("hot", "1", h, h % 6) for h in range(500)]
     got = {r.learner: r for r in review_states(answers(spark, rows).repartition(5)).collect()}
     want = START
     for q in (5, 4, 1):
-        want = reviewed(want, q)
-    assert set(got) == {"a", "hot"} and got["a"].reviews == 3 and got["a"].interval_days == want[5] and abs(got["a"].ease - want[6]) < 1e-9
+        want = want.answered(q)
+    assert set(got) == {"a", "hot"} and got["a"].reviews == 3 and got["a"].interval_days == want.interval_days and abs(got["a"].ease - want.ease) < 1e-9
     assert got["hot"].reviews == 500 and got["a"].due_at == T0 + dt.timedelta(hours=5)
     assert review_states(answers(spark, [("a", "1", 1, 5)]).limit(0)).count() == 0
 
 
+def test_sessions(spark):
+    rows = [("new", None, None, None, None), ("due", 2, 2, T0, False), ("later", 2, 1, T0 + dt.timedelta(days=9), False), ("mastered", 9, 9, T0, True)]
+    df = spark.createDataFrame(rows, "exercise string, reviews int, correct int, due_at timestamp_ntz, mastered boolean")
+    now = F.lit(T0 + dt.timedelta(days=1)).cast("timestamp_ntz")
+    got = {m: {r.exercise for r in df.where(in_mode(m, now)).collect()} for m in ("new", "due", "review", "wrong", "all")}
+    assert got == {"new": {"new"}, "due": {"due"}, "review": {"due", "mastered"}, "wrong": {"later"}, "all": {"new", "due", "later", "mastered"}}
+    with pytest.raises(ValueError):
+        in_mode("odd", now)
+    one = spark.createDataFrame([("a", "A"), ("b", "A"), (None, "A")], "x string, y string").select(quality_of(is_right(F.col("x"), F.col("y"))).alias("q"))
+    assert [r.q for r in one.collect()] == [4, 1, 1]
+
+
 def _run(stream, mode, name):
     q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination(120)
