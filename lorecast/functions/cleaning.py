@@ -21,15 +21,32 @@ NOISE_PATTERNS = (
     r"^<!--.*-->$",
     r"(?i)^<[/!]?(div|span|a|p|li|ul|ol|section|article|header|main|script|style|button|input)[^>]*>.*$",
     r"(?i)^<[/!]?[a-zA-Z][a-zA-Z0-9-]*[^>]*>\s*$",
+    r"(?i)^(Earn XP|Streaks|Leagues|Your Own Space|See More|Search field|Sign In|user-anonymous)\b",
+    r"(?i)^\[(\*\*|★|\+1|×)\]",
     r"(?i)^(Menu|Home|Tutorials|References|Exercises|Certificates|Bootcamps|Services)\s*$",
+    r"(?i)^\s*(original:|ny:|MainLeaderboard|Leaderboard|start\s*$)",
+    r"(?i)^\[(❮|❯|Previous|Next)[^\]]*\]\(",
+    r"(?i)^\[(Sign in|Log in|Create a free|Start learning|Track your progress|Go to)\b[^\]]*\]\(",
+    r"(?i)^\s*<[a-zA-Z]+[^>]*class=['\"]w3-[^'\"]*['\"][^>]*>",
+    r"^\s*</?[a-zA-Z]+[^>]*\s*>?\s*$",
+    r"(?i)^(\[\*\*$|\[★$|\+1\]\(|Copy link\.|Shares the page URL)",
+    r"(?i)^/\s*(LinkedIn|Twitter|Facebook|Copy link)\b",
+    r"(?i)^(❮|❯|Previous|Next|previous|next)\s*(❮|❯|Previous|Next|previous|next|\||$)",
     r"(?i)^(ADVERTISEMENT|AD\b|\[advertisement\])",
-    r"(?i)^(Track your progress|Log in|Sign up|Create a free|Report Error|Try it Yourself)",
+    r"(?i)^(Track your progress|Log in|Sign up|Create a free|Report Error|Report error|Try it Yourself)",
     r"(?i)^(Contact|Contact Sales|Sales|Send us an e-mail)",
+    r"(?i)^(Video:|Video Course|Course Navigation|Video Course Navigation)",
+    r"(?i)^(Exercise\??|Exercises|Test Yourself|Quiz|QUIZ)\s*\??\s*$",
+    r"(?i)^(Reset Score|Reset score|Close This Menu|Close this menu|Hide Ads|Hide ads)",
+    r"(?i)^.+?(Log in|Sign Up|signup|login)\s*(now|today|to|for|free)",
+    r"(?i)^(W3Schools|w3schools)\s+(is|offers|provides|Home|Tutorials|References|Exercises)",
+    r"(?i)^(The W3Schools online code editor|With our online)",
     r"(?i)^(Home|Back to|Return to|Go to)\s+(top|home|previous|next|tutorial|menu|page)",
-    r"(?i)^(Main Navigation|Site Navigation|Breadcrumb)",
+    r"(?i)^(Main Navigation|Site Navigation|Breadcrumb|breadcrumb)",
     r"(?i)^(Last (updated|modified)|Published|Posted)\s*(on|:)",
+    r"(?i)^Tags?:\s*[#\w\-,][#\w\-,\s]*$",  # repeats of runs said as one run, which can't backtrack
     r"^#+\s*$",
-    r"(?i)^#{1,6}\s*(Example|Examples?|Note|Notes?|Tip|Tips?|Warning|See Also)\s*:?\s*$",
+    r"(?i)^#{1,6}\s*(Example|Examples?|Note|Notes?|Tip|Tips?|Warning|See Also|See also)\s*:?\s*$",
     r"(?i)^#{1,6}\s*(Demo|Try it|Exercise|Practice|Test|Challenge|Task)\s*:?\s*$",
 )
 #: One pattern for all, each with its own flags.
@@ -45,7 +62,7 @@ def _composed(text: Column) -> Column:
         for texts in batches:
             yield texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
-    return nfc(text)
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(nfc(F.when(~text.rlike(r"^\p{ASCII}*$"), text)))  # plain texts don't travel
 
 
 def sanitized(text: Column) -> Column:
@@ -98,6 +115,22 @@ def token_estimate(text: Column) -> Column:
     return F.when(text.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("int")
 
 
+def model_tokens(text: Column) -> Column:
+    """An estimate that may be 0, as models are billed."""
+    return F.floor(F.length(text) / 4).cast("int")
+
+
+def titled(title: Column, content: Column) -> Column:
+    """What is embedded of a chunk: its title and content; without title the content alone."""
+    return F.when(F.trim(title) != "", F.concat(title, F.lit(" —— "), content)).otherwise(content)
+
+
+def front_matter(title: Column, topic: Column, default_version: str = "3.13") -> Column:
+    """A header for a page: title, topic, and the version that the title names."""
+    version = F.coalesce(F.nullif(F.regexp_extract(title, r"\d+\.\d+", 0), F.lit("")), F.lit(default_version))
+    return F.concat(F.lit("---\ntitle: "), title, F.lit("\ntopic: "), F.coalesce(topic, F.lit("")), F.lit("\nversion: "), version, F.lit("\n---\n"))
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
 

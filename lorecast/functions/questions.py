@@ -40,6 +40,8 @@ TOOL = (
     r"^\d+\s*[+\-*/×÷]\s*\d+",
     r"(等于|计算结果)",
     r"(加|减|乘|除|乘以|除以|plus|minus|times)",
+    r"(多少)\s*(加|减|乘|除|plus|minus|times)",
+    r"今天.*(天气|温度|下雨|下雪|刮风)",
     r"(天气|温度|下雨|下雪|刮风|台风|湿度)",
     r"(换算|转换|转).*(单位|货币|汇率|美元|人民币|欧元|公里|英里|英尺|英寸|厘米|公斤|斤|磅)",
     r"(美元|人民币|欧元|日元|英镑).*(汇率|兑|换|换算|等于多少)",
@@ -62,10 +64,43 @@ KNOWLEDGE = (
     "dependency injection", "ioc", "aop", "rest", "restful", "graphql", "websocket", "oauth", "jwt", "nosql",
 )
 SHORT, TINY, LONGEST = 30, 8, 512
-# Fillers at either end of a question, and punctuation in two widths.
-LEADING = r"^(?:嗯|呃|啊|哦|噢|那个|这个|就是|就是说|我想问|我想知道|请问一下|问一下|问个问题|um+|uh+|er+|hmm+|well,?\s|so,?\s|like,?\s|那个啥|那个什么|内个|那啥)"
-TRAILING = r"(?:谢谢|感谢|多谢|3q|thanks?|thank\s?you|啊|吧|吗|呢|嘛|呗|呐|哦|噢|咯|啦|呀|哈|可以吗|行吗|对吗|好吗|OK吗|可以么|行么)\s*$"
+# Fillers at either end of a question, punctuation in two widths, and words in full width.
+LEADING = (
+    r"^(嗯|呃|啊|哦|噢|那个|这个|就是|就是说|我想问|我想知道|请问一下|问一下|问个问题)",
+    r"^(um+|uh+|er+|hmm+|well,?\s|so,?\s|like,?\s)",
+    r"^(那个啥|那个什么|内个|那啥)",
+)
+TRAILING = (
+    r"(谢谢|感谢|多谢|3q|thanks?|thank\s?you)\s*$",
+    r"(啊|吧|吗|呢|嘛|呗|呐|哦|噢|咯|啦|呀|哈)\s*$",
+    r"(可以吗|行吗|对吗|好吗|OK吗|可以么|行么)\s*$",
+)
 WIDE, NARROW = "？！，。；：（）【】《》＂＇～％＠＃＆＊＋－／＝", "?!,.;:()[]<>\"'~%@#&*+-/="
+WIDE_WORDS = {"ｐｙｔｈｏｎ": "python", "ＰＹＴＨＯＮ": "python"}
+# What refers back, what history may name, and abbreviations with what they stand for, in order.
+PRONOUN = r"\b(它|他|她|这个|那个|这些|那些)\b"
+REFERS = PRONOUN + r"|\b(其|该)\b|\b(这样|那样|这么|那么|这般|那般)\b|\b(上面|前面|以上|上述|之前|刚才|刚刚)\b|\b(下面|以下|后面|之后)\b"
+ENTITY = (
+    r"(?i)\b(tuple|list|dict|set|str|int|float|bool|class|def|function|module|package|import|lambda|decorator|generator|coroutine|async|await|thread|process|exception|error|"
+    r"for|while|if|else|elif|with|try|except|raise|yield|return|元组|列表|字典|集合|字符串|函数|类|模块|异常|循环|条件|装饰器|生成器|协程|异步|线程|进程|变量|参数|返回值)\b"
+)
+ABBREVIATIONS = {
+    "oop": "面向对象编程", "OOP": "面向对象编程", "Oop": "面向对象编程", "ml": "机器学习", "ML": "机器学习", "dl": "深度学习", "DL": "深度学习", "nlp": "自然语言处理", "NLP": "自然语言处理",
+    "api": "API 接口", "sdk": "SDK 开发工具包", "ide": "IDE 集成开发环境", "cli": "CLI 命令行", "rest": "REST API", "crud": "CRUD 增删改查", "sql": "SQL 数据库查询", "nosql": "NoSQL 非关系型数据库",
+    "json": "JSON 数据格式", "csv": "CSV 文件", "yaml": "YAML 配置文件", "git": "Git 版本控制", "http": "HTTP 协议", "https": "HTTPS 协议", "ssh": "SSH 远程连接",
+}
+# What keeps a question from being searched as it stands.
+TOO_PLAIN = ("如何", "怎样", "什么时候", "怎么写", "怎么用")
+POINTS_BACK = r"(它|他|她|这个|那个|这些|那些|其|该|这样|那样)"
+OPEN_ENDED = r"(分析|评价|比较|对比|说说|谈谈|看法|建议|你觉得|你认为|如何看|怎么看待|有什么(建议|想法|意见|方法|方案)|哪个好|选哪个|举个)"
+ADDRESSES = r"(你|您)"
+GENERIC_START = r"^(为什么|怎么|如何|哪个|什么|怎样|有啥|为啥|好不好|能不能|会不会|可不可以|有没有|是不是|有什么)"
+SPECIFIC = r"(?i)(python|java|redis|mysql|tcp|http|docker|线程|进程|协程|锁|事务|索引|缓存|算法|数据结构|协议|网络|操作系统|框架|库|类|对象|函数|接口|hashmap|jvm|spring|kubernetes)"
+FRAGMENT = r"^(什么|啥|哪个|怎么|为什么|为啥|哪一[个种]|好不好|能不能|会不会|可不可以|多少钱|多久|多大|多少|谁|哪里|何时|为何)$"
+EARLIER = r"(上面|前面|刚才|之前|上述)"
+READY_SIGNS, GENERIC_SIGNS, KEPT_ENTITIES, KEPT_TERMS = 6, 60, 5, 5
+# Words of arithmetic in the order in which they are replaced.
+OPERATORS = (("加", "+"), ("减去", "-"), ("减", "-"), ("乘以", "*"), ("乘", "*"), ("除以", "/"), ("除", "/"), ("等于", "="))
 
 
 def _any(patterns) -> str:
@@ -91,8 +126,11 @@ def intent(text: Column) -> Column:
 def cleaned_question(text: Column) -> Column:
     """Without fillers at the ends, narrow punctuation, no control characters, single spaces, at most 512 signs; never emptied."""
     bare = F.trim(text)
-    inner = F.trim(F.regexp_replace(F.trim(F.regexp_replace(bare, "(?i)" + LEADING, "")), "(?i)" + TRAILING, ""))
-    plain = F.regexp_replace(F.translate(inner, WIDE, NARROW), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    inner = F.trim(F.regexp_replace(F.trim(F.regexp_replace(bare, _any(LEADING), "")), _any(TRAILING), ""))
+    narrow = F.translate(inner, WIDE, NARROW)
+    for wide, word in WIDE_WORDS.items():
+        narrow = F.replace(narrow, F.lit(wide), F.lit(word))
+    plain = F.regexp_replace(narrow, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     short = F.substring(F.regexp_replace(plain, r"[ \t\n\r\f]{2,}", " "), 1, LONGEST)
     return F.when(short != "", short).otherwise(bare)
 
@@ -108,3 +146,48 @@ def footnote(answer: Column, sources: Column) -> Column:
     """``answer`` with up to three sources (title, content) quoted below it, unless it has marks like [1] already."""
     quoted = F.array_join(F.transform(F.slice(sources, 1, 3), lambda s, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), s["title"], F.lit(": "), F.substring(s["content"], 1, 80))), "\n")
     return F.when(answer.rlike(r"\[\d+\]") | (F.size(sources) <= 0), answer).otherwise(F.concat(answer, F.lit("\n\n"), quoted))
+
+
+def entities(history: Column) -> Column:
+    """The up to five terms last named in the last six turns (role, content), those of the assistant before the user's, each once."""
+    recent = F.slice(history, F.greatest(F.size(history) - 5, F.lit(1)), F.lit(6))
+    said = lambda role: F.flatten(F.transform(F.filter(recent, lambda t: t["role"] == role), lambda t: F.regexp_extract_all(F.coalesce(t["content"], F.lit("")), F.lit(ENTITY), F.lit(1))))
+    back = F.reverse(F.concat(said("assistant"), said("user")))
+    last = lambda terms: F.filter(terms, lambda x, i: F.array_position(F.transform(terms, F.lower), F.lower(x)) == i + 1)
+    return F.reverse(F.slice(F.get(F.transform(F.array(back), last), F.lit(0)), 1, KEPT_ENTITIES))
+
+
+def resolved(question: Column, named: Column) -> Column:
+    """``question`` with what refers back replaced by the first of the entities ``named``, or with that put before it."""
+    first = F.get(named, F.lit(0))
+    inner = F.regexp_replace(question, F.lit(PRONOUN), F.regexp_replace(first, r"([\\$])", r"\\$1"))
+    return F.when((F.size(named) <= 0) | ~question.rlike(REFERS), question).when(inner != question, inner).otherwise(F.concat_ws(" ", first, question))
+
+
+def spelled_out(text: Column, whole_words: bool = True) -> Column:
+    """Abbreviations replaced one after the other; with ``whole_words`` only where no letter or digit of Latin stands beside them."""
+    for short, full in ABBREVIATIONS.items():
+        text = F.regexp_replace(text, rf"(?<![A-Za-z0-9_]){short}(?![A-Za-z0-9_])", full) if whole_words else F.replace(text, F.lit(short), F.lit(full))
+    return text
+
+
+def retrieval_ready(text: Column, turns: Column) -> Column:
+    """Whether a question names something to look for and stands for itself; ``turns`` is the number of turns before it."""
+    q = F.trim(text)
+    terms = "(?i)" + "|".join(rf"\Q{w}\E" for w in KNOWLEDGE if w not in TOO_PLAIN)
+    vague = q.rlike(GENERIC_START) & (F.length(q) < GENERIC_SIGNS) & ~q.rlike(SPECIFIC)
+    points = q.rlike(POINTS_BACK) | (turns >= 2) & q.rlike(EARLIER)
+    return F.coalesce((F.length(q) >= READY_SIGNS) & q.rlike(terms) & ~points & ~q.rlike(OPEN_ENDED) & ~q.rlike(ADDRESSES) & ~vague & ~q.rlike(FRAGMENT), F.lit(False))
+
+
+def appended(text: Column, terms: Column) -> Column:
+    """``text`` with the first five of ``terms`` behind it, as far as it does not hold them already."""
+    fresh = F.filter(F.slice(terms, 1, KEPT_TERMS), lambda t: ~F.contains(F.lower(text), F.lower(t)))
+    return F.when(F.size(fresh) > 0, F.concat_ws(" ", text, F.array_join(fresh, " "))).otherwise(text)
+
+
+def arithmetic(text: Column) -> Column:
+    """What of a question is arithmetic: operators instead of words, nothing from an equals sign on."""
+    for word, sign in OPERATORS:
+        text = F.replace(text, F.lit(word), F.lit(sign))
+    return F.trim(F.regexp_replace(F.substring_index(text, "=", 1), r"[^0-9+\-*/().,%\s]", ""))

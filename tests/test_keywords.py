@@ -1,11 +1,10 @@
-"""The tables of words against those of the reference, as read."""
+"""The tables of words, whole."""
 
 import pytest
 from pyspark.sql import functions as F
 
 from lorecast.functions import questions as Q
 
-# intent_classifier.py, KNOWLEDGE_KEYWORDS, without repeats
 READ = """
 python|代码|编程|函数|变量|循环|条件|异常|错误|类|对象|模块|导入|文件|字符串|列表|字典|元组|集合|数组|算法|数据结构|数据库|前端|后端|框架|库|包|接口|API|测试|调试|部署|环境|配置|版本|命令行|终端|
 怎么写|怎么用|如何|怎样|什么是|什么意思|区别|对比|比较|优缺点|选择|什么时候|报错|出错|不工作|bug|问题|修复|解决|语法|用法|示例|例子|教程|文档|设计模式|架构|重构|优化|性能|tcp|http|https|
@@ -38,6 +37,6 @@ def test_short_messages_of_one_keyword(spark, text):
     ("text", "want"),
     [("用列表OK吗", "用列表"), ("用列表可以么", "用列表"), ("用列表行么 ", "用列表"), ("那啥 列表", "列表"), ("内个列表", "列表"), ("那个啥列表", "啥列表"), ("用列表可以吗", "用列表")],
 )
-def test_fillers_as_in_the_reference(spark, text, want):
-    """query_standardizer.py, _NOISE_PREFIXES and _NOISE_SUFFIXES: of the prefixes the first that fits goes."""
+def test_fillers(spark, text, want):
+    """Of the fillers in front the first that fits goes."""
     assert spark.createDataFrame([(text,)], "t string").select(Q.cleaned_question(F.col("t")).alias("v")).first().v == want
