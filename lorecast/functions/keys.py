@@ -27,3 +27,24 @@ def key(text: Column) -> Column:
     bare = F.trim(text)
     clean = F.when(bare.rlike("^[!-~]+$"), F.lower(bare)).otherwise(F.lower(strip(text)))  # most ids need no look at every blank
     return F.when(clean != "", clean)
+
+
+def metadata_matches(metadata: Column, wanted: dict[str, str]) -> Column:
+    """True where JSON ``metadata`` has every wanted key with just this value; a missing key or no metadata is no match."""
+    found = F.lit(True)
+    for name, value in wanted.items():
+        found = found & F.coalesce(F.get_json_object(metadata, f"$.{name}") == value, F.lit(False))
+    return found
+
+
+def without_key(metadata: Column, name: str) -> Column:
+    """A JSON map of strings without one of its keys."""
+    return F.to_json(F.map_filter(F.from_json(metadata, "map<string,string>"), lambda k, v: k != name))
+
+
+def first_of(*lists: Column) -> Column:
+    """The first of several lists that is neither null nor empty, else an empty one."""
+    out = F.array().cast("array<string>")
+    for x in reversed(lists):
+        out = F.when(F.coalesce(F.size(x), F.lit(0)) > 0, x).otherwise(out)
+    return out

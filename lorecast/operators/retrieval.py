@@ -115,6 +115,17 @@ def fused(dense: DataFrame, sparse: DataFrame, alpha: float = 0.6, rrf_k: int =
     return both.withColumn("score", score).withColumn("rank", F.row_number().over(order)).select("query", "doc", "score", "rank")
 
 
+def filled(ranked: DataFrame, queries: DataFrame, docs: DataFrame, id_col: str, k: int) -> DataFrame:
+    """``ranked`` (query, doc, score, rank) with each query of ``queries`` brought to ``k`` rows by the first documents in order of
+    their ids, at score 0, as far as there are any that it lacks."""
+    first = docs.select(F.col(id_col).alias("doc")).orderBy("doc").limit(2 * k).agg(F.array_sort(F.collect_list("doc")).alias("first"))  # one row of 2 k ids
+    had = queries.select("query").distinct().join(ranked.groupBy("query").agg(F.collect_list("doc").alias("had")), "query", "left")  # at most k ids a query
+    short = had.withColumn("had", F.coalesce("had", F.array().cast(ranked.select(F.array("doc").alias("a")).schema["a"].dataType))).where(F.size("had") < k)
+    lacking = F.slice(F.array_except("first", "had"), 1, F.lit(k) - F.size("had"))
+    more = short.crossJoin(F.broadcast(first)).select("query", F.posexplode(lacking).alias("at", "doc"), F.size("had").alias("n"))
+    return ranked.select("query", "doc", "score", "rank").unionByName(more.select("query", "doc", F.lit(0.0).alias("score"), (F.col("n") + F.col("at") + 1).cast("int").alias("rank")))
+
+
 def merged(lists: DataFrame, k: int) -> DataFrame:
     """Results of several sub-queries (query, sub, doc, score): the best score of each document, then the first k."""
     best = lists.groupBy("query", "doc").agg(F.max("score").alias("score"))
@@ -124,7 +135,7 @@ def merged(lists: DataFrame, k: int) -> DataFrame:
 def reranked(candidates: DataFrame, queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """Candidates (query, doc, rank) in the order of the share of the query's tokens that the document's text has, then of rank."""
     asked = queries.select("query", tokens(F.col("text")).alias("asked"))
-    known = docs.select(F.col(id_col).alias("doc"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("has"))
+    known = docs.join(candidates.select(F.col("doc").alias(id_col)).distinct(), id_col, "left_semi").select(F.col(id_col).alias("doc"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("has"))
     both = candidates.select("query", "doc", F.col("rank").alias("before")).join(known, "doc").join(asked, "query")
     scored = both.withColumn("score", F.size(F.array_intersect("asked", "has")) / F.greatest(F.size("asked"), F.lit(1)))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "before")

@@ -15,6 +15,6 @@ def test_terms_of_one_document_are_kept(spark, tmp_path):
 
 
 def test_all_terms_of_the_documents(spark):
-    columns, want = duck(retrieval._INDEX + "SELECT term, df, round(idf, 6) AS idf FROM idf")
+    columns, want = duck(retrieval.QUERIES["bm25_index_stats"][1])
     got = retrieval.bm25_index_stats(spark, "/root/testdata/sf0.01")
     assert rows_of(got.columns, [tuple(r) for r in got.collect()]) == rows_of(columns, want)
