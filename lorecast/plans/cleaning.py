@@ -57,12 +57,6 @@ def doc_hash_dedup(spark, d):
     return docs.join(first, ["kb_id", "doc_hash"]).where("doc_id <> first_doc_id").select("doc_id", "first_doc_id")
 
 
-def collection_versions(spark, d):
-    """Per base the number of its chunks and an order-free version of their ids."""
-    ids = table(spark, d, "document_chunks").select("kb_id", "id").distinct()
-    return ids.groupBy("kb_id").agg(F.count("*").alias("chunks"), F.sum(F.conv(F.substring(F.md5("id"), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string").alias("version"))
-
-
 _TAG = C.TAG.replace("'", "''")
 _NOISE = C.NOISE.replace("'", "''")
 _SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -104,8 +98,4 @@ QUERIES = {
         """SELECT doc_id, first_doc_id FROM (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY kb_id, doc_hash ORDER BY created_at NULLS FIRST, doc_id) AS first_doc_id
         FROM documents WHERE doc_hash IS NOT NULL AND kb_id IS NOT NULL) WHERE doc_id <> first_doc_id""",
     ),
-    "collection_versions": (
-        collection_versions,
-        "SELECT kb_id, count(*) AS chunks, sum(('0x' || md5(id)[1:12])::BIGINT)::VARCHAR AS version FROM (SELECT DISTINCT kb_id, id FROM document_chunks) GROUP BY kb_id",
-    ),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("references", "cleaning", "monitoring", "retrieval", "relations", "ingest", "questions")
+MODULES = ("references", "cleaning", "monitoring", "retrieval", "relations", "ingest", "questions", "evaluation")
 
 
 def core_queries() -> dict:

@@ -67,12 +67,12 @@ def title_dedup(spark, d):
 
 
 def question_dedup(spark, d):
-    """Of pairs with one question the one of the newest dataset stays: the first by (dataset time, pair id)."""
-    pairs = _once(spark, d, "eval_qa_pairs", "id", "dataset_id", "question").select("id", key("dataset_id").alias("dataset_id"), F.trim("question").alias("question")).where("question <> ''")
+    """Of pairs with one question the one of the newest dataset stays: the first by (dataset time, pair id). Each pair without question stays."""
+    pairs = _once(spark, d, "eval_qa_pairs", "id", "dataset_id", "question").select("id", key("dataset_id").alias("dataset_id"), F.coalesce(F.trim("question"), F.lit("")).alias("question"))
     sets = _once(spark, d, "eval_datasets", "id", "created_at").select(key("id").alias("dataset_id"), "created_at")
     known = pairs.join(sets, "dataset_id")
     best = F.min(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("newest"), "id"))["id"]
-    return known.groupBy("question").agg(best.alias("id"), F.count("*").alias("pairs"))
+    return known.groupBy("question", F.when(F.col("question") == "", F.col("id")).alias("alone")).agg(best.alias("id"), F.count("*").alias("pairs")).drop("alone")
 
 
 def latest_dataset(spark, d):
@@ -214,8 +214,8 @@ QUERIES = {
     "title_dedup": (title_dedup, "SELECT kb_id, title, max_by(doc_id, (created_at, doc_id)) AS doc_id, count(*) - 1 AS replaced FROM documents GROUP BY 1, 2"),
     "question_dedup": (
         question_dedup,
-        f"""SELECT question, first(id ORDER BY created_at DESC, id) AS id, count(*) AS pairs FROM (SELECT DISTINCT p.id, trim(p.question) AS question, s.created_at
-        FROM (SELECT DISTINCT id, dataset_id, question FROM eval_qa_pairs) p JOIN (SELECT DISTINCT id, created_at FROM eval_datasets) s ON {K('p.dataset_id')} = {K('s.id')} WHERE trim(p.question) <> '') GROUP BY 1""",
+        f"""SELECT question, first(id ORDER BY created_at DESC, id) AS id, count(*) AS pairs FROM (SELECT DISTINCT p.id, coalesce(trim(p.question), '') AS question, s.created_at
+        FROM (SELECT DISTINCT id, dataset_id, question FROM eval_qa_pairs) p JOIN (SELECT DISTINCT id, created_at FROM eval_datasets) s ON {K('p.dataset_id')} = {K('s.id')}) GROUP BY question, CASE WHEN question = '' THEN id END""",
     ),
     "latest_dataset": (latest_dataset, "SELECT kb_id, max_by(id, (created_at, id)) AS dataset_id, count(*) AS datasets FROM (SELECT DISTINCT id, kb_id, created_at FROM eval_datasets) GROUP BY 1"),
     "history_window": (

@@ -192,3 +192,14 @@ def test_files_and_sinks(spark, tmp_path):
     assert {r.kb_id for r in moved.collect()} == {"k"}
     assert sinks.with_columns_of(old, {"w": F.lit(1)}).first().w == 1
     assert sinks.markdown_table(old.orderBy("id")).split("\n")[2] == "| k | 1 | a |"
+    assert sinks.latex_table(old.orderBy("id")).split("\n")[2] == "k & 1 & a \\\\"
+    with pytest.raises(ValueError):
+        sinks.markdown_table(spark.range(sinks.REPORT_ROWS + 1))
+    sinks.write_report(old, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
+    check = sinks.rebuilt(old.selectExpr("kb_id", "cast(id as string) as chunk_id"), str(tmp_path / "index")).collect()
+    assert all(r.complete and r.expected == 1 for r in check)
+    fresh = sinks.reindexed(old, old.where("id = 1").withColumn("v", F.lit("new")), old.select("id"), "id")
+    assert {r.id: r.v for r in fresh.collect()} == {1: "new", 2: "b"}
+    levels = sinks.cascaded(old.where("id = 1").select("id"), [("a", old, "id", None), ("b", children, "c", "parent"), ("c", children.selectExpr("c as of", "c + 1 as leaf"), "leaf", "of")])
+    assert [r.id for r in levels["a"].collect()] == [2] and [r.c for r in levels["b"].collect()] == [20] and [r.leaf for r in levels["c"].collect()] == [21]
