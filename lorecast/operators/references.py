@@ -16,7 +16,7 @@ MATCHES = ("simple", "partial", "full")
 
 
 def orphan_references(
-    refs: DataFrame, records: DataFrame, keys: Sequence[str], match: str = "simple", hot_rows: int = HOT_ROWS
+    refs: DataFrame, records: DataFrame, keys: Sequence[str], match: str = "simple", hot_rows: int = HOT_ROWS, times: tuple[str, str] | None = None
 ) -> DataFrame:
     """Rows of ``refs`` whose key leads to no row of ``records``.
 
@@ -27,6 +27,9 @@ def orphan_references(
     * ``partial``: the non-null columns must occur together in a record; a key of nulls only is no orphan.
     * ``full``: a key is null throughout (no orphan) or not at all; a key that is null in part is an orphan.
 
+    ``times`` names the time of a reference and that of a record: then a reference is also an orphan while its record does not
+    exist yet, and the column ``late`` tells these from those without any record. A null time is never late.
+
     Repeated rows are kept as often as they occur; empty ``records`` make every complete key an orphan; empty ``refs`` give
     no rows; columns of ``records`` besides the keys, also those named like columns of ``refs``, play no part. Record keys
     with nulls count as records under ``partial`` for the masks that don't use the null columns. Keys of which many
@@ -34,7 +37,10 @@ def orphan_references(
     """
     if match not in MATCHES:
         raise ValueError(f"match is one of {MATCHES}, not {match!r}")
-    named = records.select(*keys)
+    named = records.select(*keys, *([F.col(times[1]).alias("_first")] if times else []))
+    late = [F.lit(False).alias("late")] if times else []
+    order = refs.columns
+    spread = F.struct(*(F.col(c) for c in order if not isinstance(refs.schema[c].dataType, _unhashable())))
     parts = []
     for mask in product((False, True), repeat=len(keys)):
         used = [k for k, null in zip(keys, mask) if not null]
@@ -42,12 +48,14 @@ def orphan_references(
         if not used:
             continue
         if len(used) == len(keys) or match == "partial":
-            targets = named.select(*used).dropna().distinct()
-            order = rows.columns
-            spread = F.struct(*(F.col(c) for c in order if not isinstance(rows.schema[c].dataType, _unhashable())))
-            parts.append(salted_join(rows, targets, used, "left_anti", spread, hot_rows).select(*order))
+            if times:  # the anti-join, and what would be left of it had later records not come yet
+                first = named.dropna(subset=used).groupBy(*used).agg(F.min("_first").alias("_first"), F.lit(True).alias("_there"))
+                met = salted_join(rows, first, used, "left", spread, hot_rows).where(F.col("_there").isNull() | (F.col("_first") > F.col(times[0])))
+                parts.append(met.select(*order, F.col("_there").isNotNull().alias("late")))
+            else:
+                parts.append(salted_join(rows, named.dropna(subset=used).select(*used).distinct(), used, "left_anti", spread, hot_rows).select(*order))
         elif match == "full":
-            parts.append(rows)
+            parts.append(rows.select(*order, *late))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -82,24 +90,15 @@ def deletions(logs: DataFrame) -> DataFrame:
 def pair_orphans(pairs: DataFrame, datasets: DataFrame, chunks: DataFrame, logs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Orphan references of evaluation pairs: qa_id, ref_field, ref_id, orphan_kind, created_at of the pair.
 
-    ``missing`` and ``deleted`` come from the anti-join under simple match on (ref_field, ref_id), ``late`` from the
-    references that do match but whose record was created after the pair. Blank references are null and so no case; a null
-    time is never late. Of pairs or records written several times the copies count once.
+    All come from the join by null mask under simple match on (ref_field, ref_id), given the times of pairs and records. Blank
+    references are null and so no case; a null time is never late. Of pairs or records written several times the copies count
+    once.
     """
-    refs, records = pair_references(pairs), pair_records(datasets, chunks)
     keys = ["ref_field", "ref_id"]
-    gone = orphan_references(refs, records, keys, "simple", hot_rows)
-    gone = salted_join(gone, deletions(logs), ["ref_id"], "left", F.col("qa_id"), hot_rows).select(
-        "qa_id", *keys, F.when(F.col("was_deleted"), "deleted").otherwise("missing").alias("orphan_kind"), "created_at"
-    )
-    timed = refs.where(F.col("created_at").isNotNull()).dropna(subset=["ref_id"])
-    first = records.dropna().groupBy(*keys).agg(F.min("record_at").alias("record_at"))
-    late = (
-        salted_join(timed, first, keys, "inner", F.col("qa_id"), hot_rows)
-        .where(F.col("record_at") > F.col("created_at"))
-        .select("qa_id", *keys, F.lit("late").alias("orphan_kind"), "created_at")
-    )
-    return gone.unionByName(late).where(F.col("qa_id").isNotNull()).distinct()
+    orphans = orphan_references(pair_references(pairs), pair_records(datasets, chunks), keys, "simple", hot_rows, ("created_at", "record_at"))
+    told = salted_join(orphans.where(F.col("qa_id").isNotNull()), deletions(logs), ["ref_id"], "left", F.col("qa_id"), hot_rows)
+    kind = F.when(F.col("late"), "late").when(F.col("was_deleted"), "deleted").otherwise("missing")
+    return told.select("qa_id", *keys, kind.alias("orphan_kind"), "created_at").distinct()
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from lorecast.session import write_shared
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Rows of one block of vectors; a pair of blocks is one task's unit of work.
 QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
+#: So many query vectors are broadcast (some 20 MB of 128 numbers each).
+BROADCAST_QUERIES = 20_000
 
 
 def tokens(text: Column) -> Column:
@@ -85,22 +87,67 @@ def _compare(k: int):
     return run
 
 
-def _matrix(rows: pa.Scalar) -> tuple[pa.Array, np.ndarray]:
-    values = rows.values
-    values = values.take(pc.sort_indices(values.field("id")))
-    ids, vecs = values.field("id"), values.field("v")
-    m = np.stack([np.asarray(x.as_py(), np.float64) for x in vecs])
+def _normal(ids: pa.Array, vecs: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Ids in order and their vectors at unit length, as the rows of a matrix."""
+    order = pc.sort_indices(ids)
+    ids, vecs = ids.take(order), vecs.take(order)
+    m = np.asarray(vecs.flatten(), np.float64).reshape(len(ids), -1)
     return ids, m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
 
 
+def _matrix(rows: pa.Scalar) -> tuple[pa.Array, np.ndarray]:
+    return _normal(rows.values.field("id"), rows.values.field("v"))
+
+
+def _best(scores: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of each row, ties by name."""
+    for key in (np.argsort(names, axis=1, kind="stable"), None):
+        order = key if key is not None else np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        scores, names = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+    return scores, names
+
+
+def _scan(queries, k: int):
+    """The ``k`` nearest vectors of a partition for every query, kept as batches stream by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qi, qm = queries.value
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        kind = qi.type
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vi, vm = _normal(batch.column(0), batch.column(1))
+            names = vi.to_numpy(zero_copy_only=False)
+            for at in range(0, len(qi), QUERY_BLOCK):
+                sims = np.round(qm[at : at + QUERY_BLOCK] @ vm.T, 9)
+                near = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the least
+                found = np.take_along_axis(sims, near, 1), names[near]
+                held[at] = _best(np.concatenate([held[at][0], found[0]], 1), np.concatenate([held[at][1], found[1]], 1), k) if at in held else found
+        for at, (scores, names) in held.items():
+            rows = np.repeat(np.arange(len(scores)), scores.shape[1]) + at
+            yield pa.RecordBatch.from_arrays([qi.take(pa.array(rows)), pa.array(names.ravel(), kind), pa.array(scores.ravel())], names=["query", "doc", "score"])
+
+    return run
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
     """(query, doc, score, rank): the ``k`` nearest rows of ``vectors`` by cosine for each row of ``queries``, exactly.
 
-    Both sides are cut into blocks of fixed size; each pair of blocks is compared as matrices and leaves k rows per query.
+    Up to ``BROADCAST_QUERIES`` queries, counted first, go to every task, which scans its vectors where they lie and leaves k
+    rows per query. More are cut into blocks of fixed size like the vectors, and each pair of blocks is compared as matrices.
     """
+    kind = queries.schema[id_col].dataType.simpleString()
+    few = queries.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).limit(BROADCAST_QUERIES + 1)
+    if few.count() <= BROADCAST_QUERIES:
+        asked = few.toArrow().combine_chunks()
+        if not asked.num_rows:
+            return queries.select(F.col(id_col).alias("query"), F.col(id_col).alias("doc"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        batch = asked.to_batches()[0]
+        shared = queries.sparkSession.sparkContext.broadcast(_normal(batch.column(0), batch.column(1)))
+        return top_k(vectors.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).mapInArrow(_scan(shared, k), f"query {kind}, doc {kind}, score double"), k)
     q = _blocks(queries, id_col, vec_col, QUERY_BLOCK, "q")
     v = _blocks(vectors, id_col, vec_col, VECTOR_BLOCK, "v")
-    kind = queries.schema[id_col].dataType.simpleString()
     near = v.crossJoin(q).select("qs", "vs").mapInArrow(_compare(k), f"query {kind}, doc {kind}, score double")
     return top_k(near, k)
 

@@ -27,6 +27,17 @@ def test_match_semantics(refs, parents, match, want, hot_rows):
     assert sorted(r.note for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("hot_rows", [1, 500_000])
+def test_records_that_come_later(spark, hot_rows):
+    refs = spark.createDataFrame([(1, "x", "1", 5), (2, "x", "2", 5), (3, "x", None, 5), (4, "z", "1", 5), (5, "x", "2", None), (6, "x", "3", 5)], "n int, a string, b string, at int")
+    records = spark.createDataFrame([("x", "1", 5), ("x", "2", 9), ("x", "2", 7), ("x", "3", None)], "a string, b string, since int")
+    for match, want in (("simple", {(2, True), (4, False)}), ("partial", {(2, True), (4, False)}), ("full", {(2, True), (3, False), (4, False)})):
+        got = orphan_references(refs, records, KEYS, match, hot_rows, ("at", "since"))
+        assert {(r.n, r.late) for r in got.collect()} == want, match
+    late = orphan_references(refs, records.where("b = '2'"), KEYS, "partial", hot_rows, ("at", "since")).where("n = 3")
+    assert [r.late for r in late.collect()] == [True]
+
+
 def test_empty_tables_and_bad_match(refs, parents):
     assert orphan_references(refs.limit(0), parents, KEYS).count() == 0
     assert sorted(r.note for r in orphan_references(refs, parents.limit(0), KEYS).collect()) == [1, 2, 2, 8]

@@ -19,9 +19,11 @@ def test_merge_keeps_the_best_score(spark):
     assert [(r.query, r.doc, r.rank) for r in R.merged(rows, 1).orderBy("query").collect()] == [(1, "a", 1), (2, "b", 1)]
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_dense_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "few"), [(7, 0), (4096, 0), (7, 100)])
+def test_dense_equals_brute_force(spark, monkeypatch, block, few):
     monkeypatch.setattr(R, "VECTOR_BLOCK", block)
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", few)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)
     monkeypatch.setattr(R, "QUERY_BLOCK", 3)
     rng = np.random.default_rng(0)
     v = rng.normal(size=(60, 5))
@@ -31,7 +33,11 @@ def test_dense_equals_brute_force(spark, monkeypatch, block):
     sims = np.round(n @ n.T, 9)
     want = {(q, int(x), r + 1) for q in range(0, 60, 10) for r, x in enumerate(np.argsort(-sims[q], kind="stable")[:6])}
     got = R.dense_top_k(df.where("id % 10 = 0"), df, "id", "v", 6).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {(r.query, r.doc, r.rank) for r in got} == want
+    named = df.selectExpr("concat('n', id) as id", "v")
+    assert R.dense_top_k(named.where("id = 'n3'"), named, "id", "v", 2).where("rank = 1").first().doc == "n3"
+    assert R.dense_top_k(df.limit(0), df, "id", "v", 2).count() == 0 and R.dense_top_k(df, df.limit(0), "id", "v", 2).count() == 0
 
 
 def test_tokens(spark):
