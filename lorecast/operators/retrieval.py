@@ -20,6 +20,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
 #: So many query vectors are broadcast (some 20 MB of 128 numbers each).
 BROADCAST_QUERIES = 20_000
+#: So many pairs of query and term are broadcast (some 50 MB).
+BROADCAST_TERMS = 2_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -60,6 +62,90 @@ def bm25_scores(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     return salted_join(index, weighted, ["term"], "inner", F.col("doc")).groupBy("query", "doc").agg(F.sum(weight).alias("score"))
 
 
+class _Asked:
+    """Queries by term: for each asked term the numbers of its queries and its weight, as arrays that batches are looked up in."""
+
+    def __init__(self, rows: pa.Table, n_queries: int):
+        rows = rows.sort_by("term").combine_chunks()
+        terms = rows["term"].chunk(0) if rows.num_rows else pa.array([], pa.string())
+        self.terms = pc.unique(terms)
+        codes = pc.index_in(terms, value_set=self.terms).to_numpy(zero_copy_only=False)
+        self.counts = np.bincount(codes, minlength=len(self.terms))
+        self.starts = np.cumsum(self.counts) - self.counts
+        self.queries, self.idf = rows["q"].to_numpy(), rows["idf"].to_numpy()
+        self.n = n_queries
+
+    def hits(self, terms: pa.Array, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, query, summed weight) of each row of a batch and query that share a term."""
+        codes = pc.index_in(terms, value_set=self.terms)
+        there = pc.is_valid(codes).to_numpy(zero_copy_only=False)
+        codes, of = codes.drop_null().to_numpy(zero_copy_only=False), of[there]
+        times = self.counts[codes]
+        at = np.repeat(self.starts[codes] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        pair = np.repeat(of, times) * self.n + self.queries[at]
+        order = np.argsort(pair, kind="stable")
+        pair, weight = pair[order], self.idf[at][order]
+        if not len(pair):
+            return pair, pair, weight
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        return pair[first] // self.n, pair[first] % self.n, np.add.reduceat(weight, first)
+
+
+def _first_of_each(query: np.ndarray, score: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
+    """The places of the ``k`` best of each query, ties by name."""
+    order = np.argsort(name, kind="stable")
+    order = order[np.argsort(-np.round(score[order], 9), kind="stable")]
+    order = order[np.argsort(query[order], kind="stable")]
+    sorted_q = query[order]
+    begins = np.flatnonzero(np.append(True, sorted_q[1:] != sorted_q[:-1])) if len(order) else np.array([], int)
+    rank = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+    return order[rank < k]
+
+
+def _match(asked, length: float, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: _Asked = asked.value
+        held, kind = None, None
+        for batch in batches:
+            docs, dl, terms = batch.columns
+            kind = docs.type
+            sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, query, weight = a.hits(terms.flatten(), np.repeat(np.arange(len(docs)), sizes))
+            score = weight * (K1 + 1) / (1 + K1 * (1 - B + B * dl.to_numpy(zero_copy_only=False)[row] / length))
+            names = docs.to_numpy(zero_copy_only=False)[row]
+            if held is not None:
+                query, score, names = (np.concatenate(x) for x in zip(held, (query, score, names)))
+            keep = _first_of_each(query, score, names, k)
+            held = query[keep], score[keep], names[keep]
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int64()), pa.array(held[2], kind), pa.array(held[1], pa.float64())], names=["q", "doc", "score"])
+
+    return run
+
+
+def bm25_top_k(queries: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(query, doc, score, rank): the ``k`` best documents of each query (query, text), ties by document.
+
+    While all queries together ask for no more than ``BROADCAST_TERMS`` terms, which is counted first, these go to every task;
+    documents are scored where they lie, and only k rows per query and task are shuffled. More are joined by term
+    (``bm25_scores``). Queries that share no token with any document give no rows.
+    """
+    index = write_shared(docs.select(F.col(id_col).alias("doc"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("ts")).withColumn("dl", F.size("ts")).select("doc", "dl", "ts"), "terms")
+    total = index.agg(F.count("*").alias("n"), F.sum("dl").alias("terms")).first()
+    asked = write_shared(queries.select("query", F.explode(tokens(F.col("text"))).alias("term")), "asked")
+    if asked.count() > BROADCAST_TERMS:
+        return top_k(bm25_scores(queries, docs, id_col, text_col), k)
+    ids = asked.select("query").distinct().toArrow()["query"].combine_chunks()  # no more than there are terms
+    numbered = queries.sparkSession.createDataFrame(pa.table({"query": ids, "q": pa.array(np.arange(len(ids)))})) if len(ids) else asked.select("query", F.lit(0).cast("bigint").alias("q"))
+    stats = term_statistics(index.select("doc", F.explode("ts").alias("term")), total.n)
+    weighted = asked.join(numbered, "query").join(stats, "term").select("term", "q", "idf").toArrow()
+    shared = queries.sparkSession.sparkContext.broadcast(_Asked(weighted, max(1, len(ids))))
+    length = (total.terms or 0) / max(1, total.n)
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = index.mapInArrow(_match(shared, float(length or 1), k), f"q bigint, doc {kind}, score double")
+    return top_k(found, k, "q").join(numbered, "q").select("query", "doc", "score", "rank")
+
+
 def top_k(scores: DataFrame, k: int, by: str = "query", item: str = "doc") -> DataFrame:
     """``scores`` with rank 1 to ``k`` within each query, ties by item; Spark keeps k rows per task before it shuffles."""
     order = Window.partitionBy(by).orderBy(F.desc(F.round("score", 9)), item)

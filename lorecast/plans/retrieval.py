@@ -34,7 +34,7 @@ def bm25_index_stats(spark, d):
 def bm25_topk(spark, d):
     """The best documents for each title; a query that matches fewer gets the first documents of the corpus after them."""
     asking, docs = _asking(spark, d), _docs(spark, d)
-    found = R.top_k(R.bm25_scores(asking, docs, "doc_id", "text"), K)
+    found = R.bm25_top_k(asking, docs, "doc_id", "text", K)
     return R.filled(found, asking, docs, "doc_id", K).select("query", "doc", "rank", F.round("score", 4).alias("score"))
 
 
@@ -53,7 +53,7 @@ def dense_topk(spark, d):
 
 def _both(spark, d):
     """The dense and the lexical list of each query, ``CANDIDATES`` long, written once. A vector bears the id of its document."""
-    sparse = R.top_k(R.bm25_scores(_asking(spark, d), _docs(spark, d), "doc_id", "text"), CANDIDATES)
+    sparse = R.bm25_top_k(_asking(spark, d), _docs(spark, d), "doc_id", "text", CANDIDATES)
     columns = ["query", "doc", "score", "rank"]
     lists = _dense(spark, d, CANDIDATES).select(*columns, F.lit("dense").alias("list")).unionByName(sparse.select(*columns, F.lit("sparse").alias("list")))
     lists = write_shared(lists, "lists")
@@ -77,15 +77,15 @@ def multi_query(spark, d):
     """Each document asked for by its title and by its beginning; of both lists every result keeps its better score."""
     docs = _docs(spark, d)
     asked = docs.where("doc_id % 100 = 0").select("doc_id", F.posexplode(F.array("title", F.substring("text", 1, 80))).alias("sub", "text")).where("text is not null")
-    scores = R.bm25_scores(asked.select(F.struct("doc_id", "sub").alias("query"), "text"), docs, "doc_id", "text")
-    lists = scores.select(F.col("query.doc_id").alias("query"), F.col("query.sub").alias("sub"), "doc", "score")
+    found = R.bm25_top_k(asked.select(F.struct("doc_id", "sub").alias("query"), "text"), docs, "doc_id", "text", 2 * K)
+    lists = found.select(F.col("query.doc_id").alias("query"), F.col("query.sub").alias("sub"), "doc", "score")
     return R.merged(lists, K).select("query", "doc", "rank", F.round("score", 4).alias("score"))
 
 
 def filtered_search(spark, d):
     """Chunks of French Markdown files for each title: the filter on the metadata comes before the search."""
     chunks = _chunks(spark, d).where(metadata_matches(F.col("metadata_json"), {"language": "fr", "file_extension": ".md"}))
-    found = R.top_k(R.bm25_scores(_asking(spark, d), chunks, "chunk_id", "content"), K)
+    found = R.bm25_top_k(_asking(spark, d), chunks, "chunk_id", "content", K)
     return found.select("query", "doc", "rank", F.round("score", 4).alias("score"))
 
 
@@ -111,7 +111,7 @@ def _pair_search(spark, d):
     pairs = table(spark, d, "eval_qa_pairs").select(key("id").alias("query"), F.col("question").alias("text"), "expected_chunk_ids").where("query is not null and text is not null").dropDuplicates(["query"])
     pairs = pairs.where(F.conv(F.substring("query", 1, 8), 16, 10).cast("bigint") % 100 == 0)
     chunks = _chunks(spark, d)
-    found = write_shared(R.top_k(R.bm25_scores(pairs, chunks, "chunk_id", "content"), CANDIDATES).select("query", "doc", "score", "rank"), "found")
+    found = write_shared(R.bm25_top_k(pairs, chunks, "chunk_id", "content", CANDIDATES).select("query", "doc", "score", "rank"), "found")
     again = R.reranked(found, pairs, chunks.select("chunk_id", "content"), "chunk_id", "content", K).select("query", "doc", "rank")
     want = pairs.select("query", F.array_distinct(F.filter(F.transform(F.coalesce("expected_chunk_ids", F.array().cast("array<string>")), key), lambda x: x.isNotNull())).alias("want"))
     listed = lambda df, name: df.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc"))), lambda x: x["doc"]).alias(name))  # noqa: E731 - at most CANDIDATES ids
@@ -149,7 +149,7 @@ def failure_audit(spark, d):
 
 def rerank_lexical(spark, d):
     asking, docs = _asking(spark, d), _docs(spark, d)
-    candidates = R.top_k(R.bm25_scores(asking, docs, "doc_id", "text"), 20)
+    candidates = R.bm25_top_k(asking, docs, "doc_id", "text", 20)
     return R.reranked(candidates, asking, docs, "doc_id", "text", K).select("query", "doc", "rank", F.round("score", 4).alias("score"))
 
 

@@ -52,6 +52,18 @@ def test_bm25_with_hot_terms_spread(spark, monkeypatch):
     assert set(got) == {(9, 1), (9, 2)} and got[9, 1] > got[9, 2]
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_bm25_top_k_equals_all_scores(spark, monkeypatch, most):
+    monkeypatch.setattr(R, "BROADCAST_TERMS", most)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, rng.integers(0, 9)))) for i in range(150)] + [(900, None)], "id bigint, text string").repartition(4)
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(words, 4))) for i in range(12)] + [("none", "zzz"), ("blank", "")], "query string, text string")
+    want = {(r.query, r.doc, r["rank"], round(r.score, 8)) for r in R.top_k(R.bm25_scores(queries, docs, "id", "text"), 5).collect()}
+    assert {(r.query, r.doc, r["rank"], round(r.score, 8)) for r in R.bm25_top_k(queries, docs, "id", "text", 5).collect()} == want and len(want) == 60
+    assert R.bm25_top_k(queries.limit(0), docs, "id", "text", 5).count() == 0 and R.bm25_top_k(queries, docs.limit(0), "id", "text", 5).count() == 0
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"], ["c", "x"]), (2, ["a"], []), (3, [], ["a"]), (4, ["a", "b"], ["a", "b"])], "query int, got array<string>, want array<string>")
     rows = {r.query: r for r in M.measured(df, 2).collect()}
