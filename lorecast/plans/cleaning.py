@@ -86,7 +86,15 @@ QUERIES = {
         k AS (SELECT doc_id, ps, list_transform(ps, lambda x: lower(regexp_replace(x, '^{_SPACE}+|{_SPACE}+$', '', 'g'))) AS ks FROM p)
         SELECT doc_id, sha256(array_to_string(list_filter(ps, lambda x, i: i = 1 OR ks[i] = '' OR ks[i] <> ks[i - 1]), chr(10) || chr(10))) AS hash FROM k""",
     ),
-    "clean_chain_stats": (clean_chain_stats, None),
+    "clean_chain_stats": (
+        clean_chain_stats,
+        rf"""WITH a AS (SELECT mime_type, text, nfc_normalize(translate(regexp_replace(translate(text, chr(160) || chr(8239), '  '), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}\p{{Cf}}]', '', 'g'), '{C._WIDE}', '{C._NARROW.replace("'", "''")}')) AS s FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT mime_type, text, CASE WHEN mime_type = 'text/html' THEN regexp_replace(regexp_replace(regexp_replace(s, '{_TAG}', '', 'g'), ' +\n', chr(10), 'g'), '\n +', chr(10), 'g') ELSE s END AS s FROM a),
+        c AS (SELECT mime_type, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '(?m)[ \t]+$', '', 'g'), '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS s FROM b),
+        e AS (SELECT mime_type, text, array_to_string(list_filter(string_split(s, chr(10)), lambda x: NOT regexp_matches(x, '{_NOISE}')), chr(10)) AS s FROM c),
+        f AS (SELECT mime_type, count(*) AS docs, sum(length(text)) AS before_chars, sum(length(s)) AS after_chars FROM e GROUP BY 1)
+        SELECT *, round(100 * (before_chars - after_chars) / before_chars, 1) AS removed_pct FROM f""",
+    ),
     "text_measures": (
         text_measures,
         r"""SELECT doc_id, greatest(1, length(text) // 4)::INT AS tokens,

@@ -13,8 +13,10 @@ from lorecast.functions import cleaning as C
 from lorecast.functions.keys import first_of, key, metadata_matches, without_key
 from lorecast.operators.matching import containing
 from lorecast.operators.retrieval import tokens
+from lorecast.operators.reviews import in_mode, review_states
+from lorecast.plans.ingest import _FOLD, _answers
 from lorecast.plans.relations import K
-from lorecast.plans.retrieval import _PAIRS, _TOKENS, pair_search_audit
+from lorecast.plans.retrieval import _DENSE, _PAIRS, _TOKENS, _dense, pair_search_audit
 from lorecast.plans.retrieval import K as TOP
 from lorecast.session import table
 from lorecast.sources import sinks
@@ -268,6 +270,28 @@ def reindexed_chunks(spark, d):
     return sinks.reindexed(old, new, docs.select("of"), "of").groupBy("kb_id").agg(F.count("*").alias("chunks"))
 
 
+def counter_check(spark, d):
+    """Documents whose stored counters are not what their text gives, per kind: signs, words and hash."""
+    t = table(spark, d, "documents").select("source_type", "n_chars", "word_count", "doc_hash", "text")
+    wrong = lambda stored, made: F.count_if(~stored.eqNullSafe(made))
+    words = F.when(F.col("text").isNotNull(), C.word_count(F.col("text")))
+    return t.groupBy("source_type").agg(F.count("*").alias("documents"), wrong(F.col("n_chars"), F.length("text").cast("bigint")).alias("signs"), wrong(F.col("word_count"), words).alias("words"), wrong(F.col("doc_hash"), F.sha2("text", 256)).alias("hashes"))
+
+
+def nearest_vectors(spark, d):
+    """The vector most like each query vector, other than itself."""
+    return _dense(spark, d, 2).where("doc <> query").groupBy("query").agg(F.min(F.struct("rank", "doc", F.round("score", 4).alias("score"))).alias("best")).select("query", "best.doc", "best.score")
+
+
+def exercise_modes(spark, d):
+    """Of all exercises, seen by the first learner: how many are in each mode of a session."""
+    answers = _answers(spark, d)
+    one = answers.agg(F.min("learner").alias("learner"), F.max("at").alias("now"))  # one row
+    states = review_states(answers.join(F.broadcast(one.select("learner")), "learner")).select("exercise", "reviews", "correct", "due_at", "mastered")
+    all_of = answers.select("exercise").dropna().distinct().join(states, "exercise", "left").crossJoin(F.broadcast(one))
+    return all_of.agg(*(F.count_if(in_mode(m, F.col("now"))).alias(m) for m in ("new", "due", "review", "wrong", "all")))
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number and digest of each base's ids from rows in order: a task holds one running hash."""
     started, base, n, digest, out = False, None, 0, None, []
@@ -411,6 +435,23 @@ QUERIES = {
         f"""WITH {_C}, u AS (SELECT id, kb_id, coalesce(length(text), 0) > 0 AS ok FROM documents WHERE source_type = 'url')
         SELECT kb_id, count(*) AS chunks FROM (SELECT c.kb_id FROM c WHERE c.doc_id IS NULL OR c.doc_id NOT IN (SELECT id FROM u WHERE ok) UNION ALL SELECT kb_id FROM u WHERE ok) GROUP BY 1""",
     ),
+    "counter_check": (
+        counter_check,
+        r"""SELECT source_type, count(*) AS documents, count(*) FILTER (WHERE n_chars IS DISTINCT FROM length(text)) AS signs,
+        count(*) FILTER (WHERE word_count IS DISTINCT FROM CASE WHEN text IS NOT NULL THEN len(list_filter(regexp_split_to_array(text, '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '')) END) AS words,
+        count(*) FILTER (WHERE doc_hash IS DISTINCT FROM sha256(text)) AS hashes FROM documents GROUP BY 1""",
+    ),
+    "nearest_vectors": (
+        nearest_vectors,
+        _DENSE + "SELECT query, arg_min(doc, rank) AS doc, round(arg_min(score, rank), 4) AS score FROM dense WHERE doc <> query AND rank <= 2 GROUP BY 1",
+    ),
+    "exercise_modes": (
+        exercise_modes,
+        _FOLD
+        + """, x AS (SELECT DISTINCT json_extract_string(props, '$.k') AS exercise FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL),
+        o AS (SELECT *, last_at + days * INTERVAL 1 DAY AS due_at FROM last WHERE learner = (SELECT min(user_id) FROM events)::VARCHAR), n AS (SELECT max(ts) AS now FROM events)
+        SELECT count(*) FILTER (WHERE reviews IS NULL) AS new, count(*) FILTER (WHERE due_at <= now AND NOT mastered) AS due, count(*) FILTER (WHERE due_at <= now) AS review, count(*) FILTER (WHERE reviews > correct) AS wrong, count(*) AS "all" FROM x LEFT JOIN o USING (exercise), n""",
+    ),
     "collection_versions": (
         collection_versions,
         "SELECT kb_id, count(*) AS chunks, sha256(string_agg(id, '|' ORDER BY id))[1:16] AS version FROM (SELECT DISTINCT kb_id, id FROM document_chunks WHERE id IS NOT NULL) GROUP BY kb_id",

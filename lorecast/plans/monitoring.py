@@ -51,9 +51,9 @@ def usage_totals(spark, d):
 
 def kb_stats(spark, d):
     docs = table(spark, d, "documents").groupBy("kb_id").agg(F.count("*").alias("docs"))
-    chunks = table(spark, d, "document_chunks").select("id", "kb_id", "token_count").distinct().groupBy("kb_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.round(F.avg("token_count"), 1).alias("avg_tokens"))
+    chunks = table(spark, d, "document_chunks").select("id", "kb_id", "token_count", "vector_id").distinct().groupBy("kb_id").agg(F.count("*").alias("chunks"), F.countDistinct("vector_id").alias("vectors"), F.sum("token_count").alias("tokens"), F.round(F.avg("token_count"), 1).alias("avg_tokens"))
     kbs = table(spark, d, "knowledge_bases").select(F.col("id").alias("kb_id"), "quality_status")
-    zero = {"docs": 0, "chunks": 0, "tokens": 0, "avg_tokens": 0.0}
+    zero = {"docs": 0, "chunks": 0, "vectors": 0, "tokens": 0, "avg_tokens": 0.0}
     return kbs.join(docs, "kb_id", "left").join(chunks, "kb_id", "left").fillna(zero)
 
 
@@ -107,9 +107,9 @@ QUERIES = {
     ),
     "kb_stats": (
         kb_stats,
-        """SELECT k.id AS kb_id, k.quality_status, coalesce(d.docs, 0) AS docs, coalesce(c.chunks, 0) AS chunks, coalesce(c.tokens, 0) AS tokens, coalesce(c.avg_tokens, 0) AS avg_tokens
+        """SELECT k.id AS kb_id, k.quality_status, coalesce(d.docs, 0) AS docs, coalesce(c.chunks, 0) AS chunks, coalesce(c.vectors, 0) AS vectors, coalesce(c.tokens, 0) AS tokens, coalesce(c.avg_tokens, 0) AS avg_tokens
         FROM knowledge_bases k LEFT JOIN (SELECT kb_id, count(*) AS docs FROM documents GROUP BY 1) d ON d.kb_id = k.id
-        LEFT JOIN (SELECT kb_id, count(*) AS chunks, sum(token_count) AS tokens, round(avg(token_count), 1) AS avg_tokens FROM (SELECT DISTINCT id, kb_id, token_count FROM document_chunks) GROUP BY 1) c ON c.kb_id = k.id""",
+        LEFT JOIN (SELECT kb_id, count(*) AS chunks, count(DISTINCT vector_id) AS vectors, sum(token_count) AS tokens, round(avg(token_count), 1) AS avg_tokens FROM (SELECT DISTINCT id, kb_id, token_count, vector_id FROM document_chunks) GROUP BY 1) c ON c.kb_id = k.id""",
     ),
     "chunk_types": (
         chunk_types,

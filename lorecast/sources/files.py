@@ -52,10 +52,18 @@ def _quoted(text: str) -> str:
     return r"\Q" + text + r"\E"
 
 
-def page_title(html: Column) -> Column:
-    """The title of a page, else its first heading, without tags; null if there is neither."""
+def headed(text: Column, path: Column) -> Column:
+    """Source code with a header that names its language and file."""
+    return F.concat(F.lit("# Language: "), language(path), F.lit("\n# File: "), path, F.lit("\n\n"), text)
+
+
+def page_title(html: Column, suffixes: Sequence[str] = ()) -> Column:
+    """The title of a page, else its first heading, without tags and without what a site puts behind it; null if there is neither."""
     found = F.coalesce(F.nullif(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")), F.nullif(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), F.lit("")))
-    return F.trim(F.regexp_replace(F.regexp_replace(found, r"<[^>]+>", ""), r"\s+", " "))
+    title = F.trim(F.regexp_replace(F.regexp_replace(found, r"<[^>]+>", ""), r"\s+", " "))
+    for suffix in suffixes:
+        title = F.when(title.endswith(suffix), F.trim(F.left(title, F.length(title) - len(suffix)))).otherwise(title)
+    return title
 
 
 def page_links(html: Column) -> Column:

@@ -173,6 +173,7 @@ def test_files_and_sinks(spark, tmp_path):
     assert files.read_tree(spark, str(tmp_path / "src"), ["docs/"]).count() == 1
     html = "<html><head><title> A <b>b</b>\n c </title></head><a href='/x'>1</a><a class=q href=\"/y#z\">2</a><a href='/x'>3</a>"
     assert one(spark, html, files.page_title) == "A b c" and one(spark, html, files.page_links) == ["/x", "/y"]
+    assert one(spark, html, lambda c: files.page_title(c, [" c", "x"])) == "A b" and one(spark, "x = 1", lambda c: files.headed(c, F.lit("b.py"))) == "# Language: python\n# File: b.py\n\nx = 1"
     (tmp_path / "ann.json").write_text(json.dumps([{"question": "q", "doc": "d", "chunk_indices": [1, 2]}, {"question": "r", "doc": "e"}]))
     assert sorted((r.question, r.chunk_index) for r in files.read_annotations(spark, str(tmp_path / "ann.json")).collect() if r.chunk_index) == [("q", 1), ("q", 2)]
     up = spark.createDataFrame([("k", bytearray(b"x")), ("k", bytearray(b"x")), ("l", bytearray(b"x"))], "kb_id string, content binary")
