@@ -49,8 +49,8 @@ def documents_with_base(spark, d):
 
 
 def _mentions(spark, d):
-    """(id, doc_id): the first document whose title holds what a question names between backticks."""
-    named = _pairs(spark, d).select("id", F.regexp_extract("question", "`([^`]+)`", 1).alias("needle")).where("needle <> ''")
+    """(id, doc_id): the first document whose title holds the last three words of a question."""
+    named = _pairs(spark, d).select("id", F.regexp_extract("question", r"(\S+ \S+ \S+)\?$", 1).alias("needle")).where("needle <> ''")
     docs = table(spark, d, "documents").select("doc_id", "title")
     return containing(named.select("needle").distinct(), "needle", docs, "title").groupBy("needle").agg(F.min("doc_id").alias("doc_id")).join(named, "needle")
 
@@ -60,7 +60,7 @@ def title_mentions(spark, d):
 
 
 def stale_references(spark, d):
-    """How each pair's chunks are found: directly, by the document that its question names, or not at all, and how many."""
+    """How each pair's chunks are found: directly, by the document whose title the question ends like, or not at all, and how many."""
     pairs = _pairs(spark, d).select("id", "expected_chunk_ids")
     chunks = _chunks(spark, d, F.col("doc_id").alias("of"))
     direct = pairs.select("id", F.explode("expected_chunk_ids").alias("raw")).select("id", key("raw").alias("chunk_id")).distinct().join(chunks, "chunk_id", "left_semi").groupBy("id").agg(F.count("*").alias("direct"))
@@ -96,7 +96,7 @@ def pair_samples(spark, d):
 
 
 def hint_chunks(spark, d):
-    """Of the document that a question names the four chunks that hold most of the question's words."""
+    """Of the document whose title a question ends like the four chunks that hold most of the question's words."""
     pairs = _pairs(spark, d).select("id", tokens(F.col("question")).alias("hints"))
     ids = table(spark, d, "documents").select("doc_id", F.col("id").alias("of"))
     chunks = _chunks(spark, d, F.col("doc_id").alias("of"), F.lower("content").alias("low")).where("low is not null")
@@ -317,7 +317,7 @@ def collection_versions(spark, d):
 _P = f"p AS (SELECT DISTINCT ON ({K('id')}) * REPLACE ({K('id')} AS id) FROM eval_qa_pairs WHERE {K('id')} IS NOT NULL)"
 _C = f"c AS (SELECT DISTINCT ON ({K('id')}) *, {K('id')} AS chunk_id FROM document_chunks WHERE {K('id')} IS NOT NULL)"
 _R = f"r AS (SELECT DISTINCT id, {K('raw')} AS chunk_id FROM (SELECT id, unnest(expected_chunk_ids) AS raw FROM p) WHERE {K('raw')} IS NOT NULL)"
-_M = "m AS (SELECT q.id, needle, min(d.doc_id) AS doc_id FROM (SELECT id, regexp_extract(question, '`([^`]+)`', 1) AS needle FROM p) q JOIN documents d ON contains(d.title, needle) WHERE needle <> '' GROUP BY 1, 2)"
+_M = r"m AS (SELECT q.id, needle, min(d.doc_id) AS doc_id FROM (SELECT id, regexp_extract(question, '(\S+ \S+ \S+)\?$', 1) AS needle FROM p) q JOIN documents d ON contains(d.title, needle) WHERE needle <> '' GROUP BY 1, 2)"
 _NOISE = C.NOISE.replace("'", "''")
 QUERIES = {
     "audit_by_month": (
