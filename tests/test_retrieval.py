@@ -1,4 +1,8 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +68,51 @@ def test_bm25_top_k_equals_all_scores(spark, monkeypatch, most):
     assert R.bm25_top_k(queries.limit(0), docs, "id", "text", 5).count() == 0 and R.bm25_top_k(queries, docs.limit(0), "id", "text", 5).count() == 0
 
 
+def _matched(texts, idf, queries, k, batch=10**6):
+    """What a task finds in ``texts`` (lists of terms) for ``queries`` (likewise): (query, doc, score)."""
+    rows = [(t, q, idf[t]) for q, ts in enumerate(queries) for t in ts]
+    asked = R._Asked(pa.table({"term": pa.array([r[0] for r in rows], pa.string()), "q": pa.array([r[1] for r in rows], pa.int64()), "idf": pa.array([r[2] for r in rows], pa.float64())}), len(queries))
+    table = pa.table({"doc": pa.array(range(len(texts)), pa.int64()), "dl": pa.array([len(t) for t in texts], pa.int32()), "ts": pa.array(texts, pa.list_(pa.string()))})
+    run = R._match(SimpleNamespace(value=asked), 6.0, k)
+    return [r for b in run(iter(table.combine_chunks().to_batches(batch))) for r in zip(*(c.to_pylist() for c in b.columns))]
+
+
+def test_memory_of_a_task_does_not_follow_who_asks_for_a_term():
+    """4,000 queries ask 3,000 documents for a term that all have: twelve million pairs, of which each block sees a part."""
+    texts = [["the", f"d{i}", *(["longer"] * (i % 2))] for i in range(3000)]
+    tracemalloc.start()
+    got = _matched(texts, {"the": 1.0, "longer": 0.1} | {f"d{i}": 5.0 for i in range(3000)}, [["the", f"d{i % 3000}"] for i in range(4000)], 2, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
+    best = {}
+    for q, doc, score in got:
+        best.setdefault(q, []).append((-round(score, 9), doc))
+    assert all(sorted(best[q])[:2][0][1] == q % 3000 and sorted(best[q])[1][1] == (0 if q % 3000 else 2) for q in range(4000))
+
+
+@pytest.mark.parametrize(("docs", "pairs", "cells", "batch"), [(512, 1 << 18, 1 << 24, 10**6), (7, 20, 1 << 24, 40), (16, 1, 50, 90), (3, 10**6, 1, 10**6)])
+def test_blocks_leave_out_nothing(monkeypatch, docs, pairs, cells, batch):
+    """Against brute force, with weights below zero and of zero, copies (ties), empty documents and queries that ask for a term nobody has."""
+    for name, value in (("BLOCK_DOCS", docs), ("BLOCK_PAIRS", pairs), ("BLOCK_CELLS", cells)):
+        monkeypatch.setattr(R, name, value)
+    rng = np.random.default_rng(docs)
+    words = [f"w{i}" for i in range(30)]
+    share = np.linspace(0.02, 0.9, 30)
+    idf = {w: round(float(np.log((1 - p + 0.01) / (p + 0.01))), 3) if p < 0.8 else [-0.5, 0.0][i % 2] for i, (w, p) in enumerate(zip(words, share))} | {"nobody": 3.0}
+    texts = [[w for w, p in zip(words, share) if rng.random() < p] for _ in range(200)] + [[], []]
+    texts += texts[:60]
+    queries = [sorted(rng.choice(words, rng.integers(1, 8), replace=False)) + ["nobody"] * int(i % 3 == 0) for i in range(50)] + [["w29"], ["nobody"], []]
+    want = set()
+    for q, ts in enumerate(queries):
+        found = []
+        for i, text in enumerate(texts):
+            if both := set(ts) & set(text):
+                found.append((-round(sum(idf[t] for t in both) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(text) / 6)), 9), i))
+        want |= {(q, i, -s) for s, i in sorted(found)[:4]}
+    assert {(q, i, round(s, 9)) for q, i, s in _matched(texts, idf, queries, 4, batch)} == want and len(want) > 190
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"], ["c", "x"]), (2, ["a"], []), (3, [], ["a"]), (4, ["a", "b"], ["a", "b"])], "query int, got array<string>, want array<string>")
     rows = {r.query: r for r in M.measured(df, 2).collect()}
